@@ -53,16 +53,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
-
-    The files survive the loss of any executor; Spark's cleaner removes them
-    when the frame is no longer referenced.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, *partition_by: str) -> str:
     """Write ``df`` as a Parquet table in the shared folder and return its path.
 
@@ -76,6 +66,27 @@ def written(df: DataFrame, *partition_by: str) -> str:
     return path
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder.
+
+    The files survive the loss of any executor, are compressed and read column
+    by column.  In contrast to a checkpoint the new frame carries neither the
+    constraints nor the partitionings of the plan it cuts; in a loop these
+    multiply from round to round until planning takes longer than running.
+    """
+    path = written(df)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that nothing will read again."""
+    for frame in frames:
+        if path := getattr(frame, "_table_path", None):
+            _remove(frame.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
