@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions.ground import add_place, first_rows
 from terraweave.operators.eav import eav_to_wide, wide_cells
+from terraweave.operators.profile import departures, profile_loads
 from terraweave.operators.proximity import near_and_within
 from terraweave.session import durable, table
 
@@ -38,5 +39,94 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_cells(p3_wide(spark, sf_dir), FEATURE)
 
 
-QUERIES = {"p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+LOAD = ["dataset_id", "run_id"]
+
+
+def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every attribute of every load."""
+    wide = profile_loads(table(spark, sf_dir, "source_feature"), table(spark, sf_dir, "dataset_profile"), LOAD)
+    return wide.select(*LOAD, "attribute", "rows", "values", "null_rate", "n_distinct", "pattern_share", "digits", "least", "most")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a load departs from what its dataset looked like when it was accepted."""
+    profile = table(spark, sf_dir, "dataset_profile")
+    return departures(profile_loads(table(spark, sf_dir, "source_feature"), profile, LOAD), profile, LOAD)
+
+
+QUERIES = {"p6_profile": p6_profile, "p6_found": p6_found, "p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
+ORACLES: dict[str, str] = {
+    "p2_found": """
+WITH rows AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset_id, source_feature_id ORDER BY id) AS rn FROM source_feature
+), first AS (
+  SELECT id, feature_class, geom_metric, geom_metric.rings[1][1].x AS mx, geom_metric.rings[1][1].y AS my,
+         CASE WHEN geom.rings[1][1].x > 50 THEN geom.rings[1][1].x ELSE geom.rings[1][1].y END AS lon,
+         CASE WHEN geom.rings[1][1].x > 50 THEN geom.rings[1][1].y ELSE geom.rings[1][1].x END AS lat
+  FROM rows WHERE rn = 1 AND feature_class IN ('utility_node', 'control_point', 'admin_unit', 'water_body')
+), terms AS (
+  SELECT *, radians(lon - 81) AS lam,
+         sinh(atanh(sin(radians(lat))) - 0.0818191908426215 * atanh(0.0818191908426215 * sin(radians(lat)))) AS t
+  FROM first WHERE feature_class IN ('utility_node', 'control_point')
+), angles AS (
+  SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM terms
+), points AS (
+  SELECT id,
+    CASE WHEN mx BETWEEN 400000 AND 800000 AND my BETWEEN 1200000 AND 1400000 THEN mx
+         WHEN lon BETWEEN 80.9 AND 82.5 AND lat BETWEEN 10.9 AND 12.5 THEN 500000 + 6364902.166165086 * (eta
+           + 0.0008377318206244698 * cos(2 * xi) * sinh(2 * eta) + 7.608527773572309e-07 * cos(4 * xi) * sinh(4 * eta)
+           + 1.1976455033294525e-09 * cos(6 * xi) * sinh(6 * eta) + 2.429170607201359e-12 * cos(8 * xi) * sinh(8 * eta)) END AS x,
+    CASE WHEN mx BETWEEN 400000 AND 800000 AND my BETWEEN 1200000 AND 1400000 THEN my
+         WHEN lon BETWEEN 80.9 AND 82.5 AND lat BETWEEN 10.9 AND 12.5 THEN 6364902.166165086 * (xi
+           + 0.0008377318206244698 * sin(2 * xi) * cosh(2 * eta) + 7.608527773572309e-07 * sin(4 * xi) * cosh(4 * eta)
+           + 1.1976455033294525e-09 * sin(6 * xi) * cosh(6 * eta) + 2.429170607201359e-12 * sin(8 * xi) * cosh(8 * eta)) END AS y
+  FROM angles
+), placed AS (SELECT * FROM points WHERE x IS NOT NULL), cells AS (
+  SELECT p.id, x, y, floor(x / 12) AS cx, floor(y / 12) AS cy FROM placed AS p
+), near AS (
+  SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b
+  FROM (SELECT *, cx + dx AS nx, cy + dy AS ny FROM cells, (VALUES (-1), (0), (1)) AS i(dx), (VALUES (-1), (0), (1)) AS j(dy)) AS a
+  JOIN cells AS b ON a.nx = b.cx AND a.ny = b.cy AND a.id < b.id
+  WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 12
+), rings AS (
+  SELECT id, unnest(geom_metric.rings) AS ring FROM first WHERE feature_class IN ('admin_unit', 'water_body')
+), sides AS (
+  SELECT id, unnest(list_zip(ring[:-2], ring[2:])) AS side FROM rings
+), edges AS (
+  SELECT id, side[1].x AS x1, side[1].y AS y1, side[2].x AS x2, side[2].y AS y2 FROM sides
+), inside AS (
+  SELECT p.id AS pid, e.id AS rid FROM placed AS p JOIN edges AS e
+    ON p.y >= least(e.y1, e.y2) AND p.y < greatest(e.y1, e.y2) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+  GROUP BY 1, 2 HAVING count(*) % 2 = 1
+)
+SELECT id_a, id_b, 'near' AS relation FROM near
+UNION ALL SELECT least(pid, rid), greatest(pid, rid), 'within' FROM inside""",
+    "p6_found": """
+WITH loads AS (
+  SELECT dataset_id, run_id, count(*) AS n_rows FROM source_feature GROUP BY 1, 2 HAVING count(*) >= 20
+), pairs AS (
+  SELECT dataset_id, run_id, unnest(map_entries(properties)) AS kv FROM source_feature
+), vals AS (
+  SELECT dataset_id, run_id, kv.key AS attribute, kv.value AS v FROM pairs WHERE trim(kv.value) <> ''
+), measured AS (
+  SELECT v.dataset_id, v.run_id, v.attribute, count(*) AS n, count(DISTINCT v.v) AS d,
+         avg(CASE WHEN p.value_pattern IS NOT NULL THEN regexp_full_match(v.v, p.value_pattern)::INT END) AS share,
+         median(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) AS m
+  FROM vals AS v JOIN dataset_profile AS p USING (dataset_id, attribute) GROUP BY 1, 2, 3
+), points AS (
+  SELECT dataset_id, run_id, unnest(flatten(geom.rings)) AS q FROM source_feature
+), digits AS (
+  SELECT dataset_id, run_id, max(greatest(length(split_part(q.x::VARCHAR, '.', 2)) * (q.x <> round(q.x))::INT, length(split_part(q.y::VARCHAR, '.', 2)) * (q.y <> round(q.y))::INT)) AS k
+  FROM points GROUP BY 1, 2
+), all_of AS (
+  SELECT l.dataset_id, l.run_id, p.attribute, l.n_rows, coalesce(m.n, 0) AS n, m.d, m.share, m.m, g.k, p.*
+  FROM loads AS l JOIN dataset_profile AS p ON l.dataset_id = p.dataset_id
+  LEFT JOIN measured AS m ON m.dataset_id = l.dataset_id AND m.run_id = l.run_id AND m.attribute = p.attribute
+  LEFT JOIN digits AS g ON g.dataset_id = l.dataset_id AND g.run_id = l.run_id
+)
+SELECT dataset_id, run_id, attribute, 'null_rate' AS measure FROM all_of WHERE attribute <> 'geom' AND abs(1 - n / n_rows - attribute_null_rate) > 0.25
+UNION ALL SELECT dataset_id, run_id, attribute, 'cardinality' FROM all_of WHERE attribute <> 'geom' AND attribute_cardinality = feature_count AND d < 0.75 * n
+UNION ALL SELECT dataset_id, run_id, attribute, 'pattern' FROM all_of WHERE attribute <> 'geom' AND pattern_share - share > 0.15
+UNION ALL SELECT dataset_id, run_id, attribute, 'distribution' FROM all_of WHERE attribute <> 'geom' AND (m > 2 * value_median OR m < value_median / 2)
+UNION ALL SELECT dataset_id, run_id, attribute, 'precision' FROM all_of WHERE attribute = 'geom' AND coordinate_precision_digits - k >= 2""",
+}
