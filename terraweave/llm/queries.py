@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweave.llm.components import consolidated
+from terraweave.llm.tokenizer import token_ids
 from terraweave.session import table
 
 _END = "\u0000"
@@ -21,6 +22,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring(plain, F.lit(1), width).alias("dataset_id"), F.substr(plain, width + 3).alias("source_feature_id"), F.substring_index("group", _END, 1).alias("group_key"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLES: dict[str, str] = {}
