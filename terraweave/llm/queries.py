@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraweave.functions.ground import LAT, LON
 from terraweave.llm.components import consolidated
+from terraweave.llm.consensus import best_representatives
 from terraweave.llm.tokenizer import token_ids
 from terraweave.session import table
 
 _END = "\u0000"
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claim that supplies each field of the surviving record of every entity."""
+    claims = table(spark, sf_dir, "source_claim").where("property_path = 'geometry'")
+    return best_representatives(claims, "entity_id", LON, LAT)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every feature that claims tie to an entity."""
     claims = table(spark, sf_dir, "source_claim").where("entity_id is not null and dataset_id is not null and source_feature_id is not null")
@@ -27,6 +35,6 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLES: dict[str, str] = {}
