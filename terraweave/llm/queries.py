@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraweave.functions.ground import LAT, LON
 from terraweave.llm.components import consolidated
 from terraweave.llm.consensus import best_representatives
+from terraweave.llm.textstats import found_forms, quality_statistics, text_totals
 from terraweave.llm.tokenizer import token_ids
 from terraweave.session import table
 
@@ -35,6 +36,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
+def _text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = [r["word"] for r in table(spark, sf_dir, "common_word").select("word").distinct().collect()]
+    return text_totals(table(spark, sf_dir, "documents"), words)
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return quality_statistics(_text_totals(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are lists, tables or junk rather than natural prose."""
+    return found_forms(table(spark, sf_dir, "documents"), _text_totals(spark, sf_dir))
+
+
+QUERIES = {"p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLES: dict[str, str] = {}
