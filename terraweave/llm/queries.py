@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from terraweave.functions.ground import LAT, LON
 from terraweave.llm.components import consolidated
 from terraweave.llm.consensus import best_representatives
+from terraweave.llm.matching import matched
 from terraweave.llm.textstats import found_forms, quality_statistics, text_totals
 from terraweave.llm.tokenizer import token_ids
-from terraweave.session import table
+from terraweave.session import durable, table
 
 _END = "\u0000"
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of features that are one parcel or building, with a confidence."""
+    return matched(table(spark, sf_dir, "source_feature"), ["parcel", "building"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of features that no claim ties to an entity."""
+    feature = ["dataset_id", "source_feature_id"]
+    tied = table(spark, sf_dir, "source_claim").where("entity_id is not null").select(*feature).distinct()
+    first = table(spark, sf_dir, "source_feature").groupBy(*feature).agg(F.min("id").alias("id"))
+    free = durable(first.join(tied, feature, "left_anti").select("id"))
+    pairs = p1_matches(spark, sf_dir)
+    ends = [free.withColumnRenamed("id", c) for c in ("id_a", "id_b")]
+    return pairs.join(ends[0], "id_a", "left_semi").join(ends[1], "id_b", "left_semi").select("id_a", "id_b")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claim that supplies each field of the surviving record of every entity."""
     claims = table(spark, sf_dir, "source_claim").where("property_path = 'geometry'")
@@ -51,6 +68,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_forms(table(spark, sf_dir, "documents"), _text_totals(spark, sf_dir))
 
 
-QUERIES = {"p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLES: dict[str, str] = {}
