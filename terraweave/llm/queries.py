@@ -9,8 +9,9 @@ from terraweave.functions.ground import LAT, LON
 from terraweave.llm.components import consolidated
 from terraweave.llm.consensus import best_representatives
 from terraweave.llm.matching import matched
+from terraweave.llm.packing import packed
 from terraweave.llm.textstats import found_forms, quality_statistics, text_totals
-from terraweave.llm.tokenizer import token_ids
+from terraweave.llm.tokenizer import token_counts, token_ids
 from terraweave.session import durable, table
 
 _END = "\u0000"
@@ -53,6 +54,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of each of its parts, for every container size."""
+    sizes = token_counts(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size"))
+    containers = table(spark, sf_dir, "container_spec").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    found = packed(sizes, containers)
+    return found.select("spec_id", F.col("item").alias("doc_id"), "part", F.col("size").alias("tokens"), F.col("container").alias("container_id"))
+
+
 def _text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = [r["word"] for r in table(spark, sf_dir, "common_word").select("word").distinct().collect()]
     return text_totals(table(spark, sf_dir, "documents"), words)
@@ -68,6 +77,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_forms(table(spark, sf_dir, "documents"), _text_totals(spark, sf_dir))
 
 
-QUERIES = {"p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p8_packed": p8_packed, "p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLES: dict[str, str] = {}
