@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import problems
+from terraweave.queries import joins, problems
 
-MODULES = [problems]
+MODULES = [problems, joins]
 
 FLAGSHIP = problems.p3_found
 
