@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import joins, problems
+from terraweave.queries import evidence, joins, problems
 
-MODULES = [problems, joins]
+MODULES = [problems, joins, evidence]
 
 FLAGSHIP = problems.p3_found
 
