@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, joins, problems
+from terraweave.queries import evidence, joins, linkage, problems
 
-MODULES = [problems, joins, evidence]
+MODULES = [problems, joins, evidence, linkage]
 
 FLAGSHIP = problems.p3_found
 
