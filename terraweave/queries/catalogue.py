@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, joins, linkage, problems
+from terraweave.queries import evidence, joins, linkage, measures, problems
 
-MODULES = [problems, joins, evidence, linkage]
+MODULES = [problems, joins, evidence, linkage, measures]
 
 FLAGSHIP = problems.p3_found
 
