@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, joins, linkage, measures, problems
+from terraweave.queries import evidence, joins, linkage, measures, problems, scalars
 
-MODULES = [problems, joins, evidence, linkage, measures]
+MODULES = [problems, joins, evidence, linkage, measures, scalars]
 
 FLAGSHIP = problems.p3_found
 
