@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Alphabets of the identifiers.
-BASE32 = "0123456789abcdefghjkmnpqrstvwxyz"
+BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 CHECK32 = "0123456789ABCDEFGHJKLMNPQRSTUVWX"
 
 

@@ -72,7 +72,7 @@ def roman(text: Column) -> Column:
 
 def number_token(low: Column) -> Column:
     """The digits or the roman numeral of a text with words around it, else an empty text."""
-    return F.regexp_extract(low, r"^(?:[a-z][a-z .]*-?)?\s*(?:(?:no)?\.\s*)?(\d{1,15}|[ivxlc]+)(?:\.0*)?(?:\s*[a-z][a-z .]*)?\z", 1)
+    return F.regexp_extract(low, r"^(?:[a-z][a-z .]*[ .-]\s*|[a-z]+(?=\d))?(\d{1,15}|[ivxlc]+(?=\s|\z))(?:\.0*)?(?:\s*[a-z][a-z .]*)?\z", 1)
 
 
 def whole_number(token: Column) -> Column:
