@@ -64,13 +64,13 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, links:
     """
     total = small.agg(F.sum(links)).first()[0] or 0
     limit = max(HOT_LINKS, total // HOT_SHARE)
-    hot = small.where(F.col(links) > limit).select(key, (F.col(links) / limit).cast("int").alias("_ways"))
+    hot = small.where(F.col(links) > limit).select(key, (F.col(links) / limit).cast("bigint").alias("_ways"))
     if hot.isEmpty():
         return big.join(small.drop(links), key)
-    salted = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(0)) + 1)).drop("_ways")
-    ways = F.when(F.col(links) > limit, (F.col(links) / limit).cast("int")).otherwise(0)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), ways)).cast("bigint")).drop(links)
-    return salted.withColumn("_salt", F.col("_salt").cast("bigint")).join(copies, [key, "_salt"]).drop("_salt")
+    salted = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(0).cast("bigint")) + 1)).drop("_ways")
+    ways = F.when(F.col(links) > limit, (F.col(links) / limit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), ways))).drop(links)
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def consolidated(links: DataFrame) -> DataFrame:
