@@ -109,5 +109,5 @@ def from_wkt(text: Column) -> Column:
     kind = F.initcap(F.regexp_extract(text, r"(?i)^\s*(POINT|LINESTRING|POLYGON)\b", 1))
     shown = F.when(kind == "Linestring", "LineString").otherwise(F.nullif(kind, F.lit("")))
     parts = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
-    point = lambda t: F.struct(F.split_part(F.trim(t), F.lit(" "), F.lit(1)).try_cast("double").alias("x"), F.element_at(F.split(F.trim(t), r"\s+"), 2).try_cast("double").alias("y"))
+    point = lambda t: F.struct(F.split_part(F.trim(t), F.lit(" "), F.lit(1)).try_cast("double").alias("x"), F.get(F.split(F.trim(t), r"\s+"), F.lit(1)).try_cast("double").alias("y"))
     return F.when(shown.isNotNull() & (F.size(parts) > 0), F.struct(shown.alias("kind"), F.transform(parts, lambda r: F.transform(F.split(r, ","), point)).alias("rings")))

@@ -84,7 +84,7 @@ def read_nmea(spark: SparkSession, path: str) -> DataFrame:
     bytes_ = F.transform(F.sequence(F.lit(1), F.length(body)), lambda k: F.ascii(F.substring(body, k, F.lit(1))))
     checksum = F.aggregate(bytes_, F.lit(0), lambda a, b: a.bitwiseXOR(b))
     told = F.conv(F.substring_index("s", "*", -1), 16, 10).cast("int")
-    p = lambda k: F.nullif(F.element_at(F.split(body, ","), k + 1), F.lit(""))
+    p = lambda k: F.nullif(F.get(F.split(body, ","), F.lit(k)), F.lit(""))
     degrees = lambda v, sign, minus: (F.floor(v / 100) + (v % 100) / 60) * F.when(sign == minus, -1.0).otherwise(1.0)
     quality = p(6).try_cast("int")
     sigma = F.element_at(F.create_map(*[F.lit(x) for kv in GGA_SIGMA.items() for x in kv]), quality) * F.greatest(F.coalesce(p(8).try_cast("double"), F.lit(1.0)), F.lit(1.0))
@@ -100,7 +100,7 @@ def read_rinex_header(spark: SparkSession, path: str) -> DataFrame:
     kept = lines.where(F.col("label").isin("MARKER NAME", "APPROX POSITION XYZ", "REC # / TYPE / VERS"))
     pick = lambda label: F.max(F.when(F.col("label") == label, F.col("body")))
     out = kept.groupBy("file").agg(pick("MARKER NAME").alias("marker"), pick("APPROX POSITION XYZ").alias("xyz"), pick("REC # / TYPE / VERS").alias("receiver"))
-    at = lambda k: F.element_at(F.split(F.trim("xyz"), r"\s+"), k).try_cast("double")
+    at = lambda k: F.get(F.split(F.trim("xyz"), r"\s+"), F.lit(k - 1)).try_cast("double")
     return out.select("file", F.trim("marker").alias("marker"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), F.trim("receiver").alias("receiver"))
 
 

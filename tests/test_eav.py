@@ -49,3 +49,8 @@ def test_ties_and_repeats_and_empty(spark, fields):
 @pytest.mark.parametrize(("raw", "expected"), [("437", "437"), ("437/2A", "437/2A"), ("437 / 2 A", "437/2A"), ("0437-2A", "437/2A"), ("437.2A", "437/2A"), ("௪௩௭", "437"), ("61//2A ", "61/2A"), ("pending", None), ("", None), ("9" * 5000, "9" * 5000)])
 def test_survey_numbers(spark, raw, expected):
     assert spark.createDataFrame([(raw,)], "t string").select(V.survey_normal_form(V.squeezed(F.col("t")))).first()[0] == expected
+
+
+def test_strange_numbers_do_not_fail(spark, fields):
+    inf = float("inf")
+    assert cells(spark, fields, [("a", "ward", None, v, None) for v in (float("nan"), inf, -inf, 1e300, -1.0)] + [("b", "extent_m2", None, 1e300, None), ("b", "extent", "1" * 400, None, None), ("c", "ward", "12" * 5000, None, None)]) in ({}, {("b", "extent_m2"): str(2**63 - 1)})
