@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, feeds, joins, linkage, measures, problems, scalars
+from terraweave.queries import evidence, feeds, joins, linkage, measures, problems, scalars, serving
 
-MODULES = [problems, joins, evidence, linkage, measures, scalars, feeds]
+MODULES = [problems, joins, evidence, linkage, measures, scalars, feeds, serving]
 
 FLAGSHIP = problems.p3_found
 
