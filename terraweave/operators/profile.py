@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraweave.functions.values import squeezed
+
 #: The most expectations that are compiled into one scan.
 MOST_EXPECTATIONS = 20_000
 #: Digits after the point are looked for up to this many.
@@ -44,7 +46,7 @@ def coordinate_digits(geom: Column) -> Column:
 def long_values(features: DataFrame, load: list[str], properties: str = "properties") -> DataFrame:
     """(load, attribute, value) of every property that is there, is not null and not blank."""
     pairs = features.select(*load, F.explode(F.col(properties)).alias("attribute", "value"))
-    return pairs.where(F.length(F.trim(F.regexp_replace("value", r"[\s  -​　]+", " "))) > 0)
+    return pairs.where(squeezed(F.col("value")) != "")
 
 
 def _compiled(rules: list, column: str, condition: str = "attribute") -> Column:
