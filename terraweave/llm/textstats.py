@@ -38,9 +38,9 @@ LETTER, DIGIT, BLANK, TAB, BREAK, STOP, COMMA, PIPE, COLON, QUIET, ODD = range(1
 
 # Signs of each class; every other sign is odd.
 _SIGNS = {
-    BLANK: "              ​  　­﻿‌‍‎‏‪‫‬‭‮",
+    BLANK: "  ­            ​‎‏‪‫‬‭‮  　﻿",
     TAB: "\t",
-    BREAK: "\n\r  \x0b\x0c",
+    BREAK: "\n\r\x0b\x0c\x85  ",
     STOP: ".!?।॥…",
     COMMA: ",;",
     PIPE: "|",
@@ -63,6 +63,8 @@ def _classes() -> np.ndarray:
         table = np.full(0x110000, ODD, np.uint8)
         table[(major == ord("L")) | (major == ord("M"))] = LETTER
         table[major == ord("N")] = DIGIT
+        # The joiners stand inside words of Indic scripts.
+        table[[0x200C, 0x200D]] = LETTER
         # Latin letters with signs stand in no text of these languages but in misread bytes.
         table[0x80:0x250] = np.where(table[0x80:0x250] == LETTER, ODD, table[0x80:0x250])
         for kind, signs in _SIGNS.items():
