@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geodesy as G
 from terraweave.functions import identifiers as I
+from terraweave.functions import names as N
 from terraweave.functions import rings as R
 from terraweave.functions import values as V
 from terraweave.operators import ledger
@@ -88,7 +89,38 @@ def l3_merkle(spark, sf_dir):
     return ledger.merkle_root(s)
 
 
+def f8_name_similarity(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", F.round(N.jaro_winkler(F.lower("s_name"), F.lower("n_name")), 6).alias("similarity"))
+
+
+def a29_rollup(spark, sf_dir):
+    """Balances rolled up over region, nation and segment."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    out = j.rollup("r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.grouping_id().alias("level"))
+    return out.select("r_name", "n_name", "c_mktsegment", "n", "balance", F.col("level").cast("bigint").alias("level"))
+
+
+def j11_within_distance(spark, sf_dir):
+    """Buildings whose centres lie at most 18 metres apart, by the latitude sweep."""
+    from terraweave.operators.proximity import near_and_within
+
+    b = layer(spark, sf_dir, "buildings").select(F.col("fid").alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    return near_and_within(b, None, 18.0).select("id_a", "id_b", F.round("distance", 6).alias("distance"))
+
+
+def w1_frames(spark, sf_dir):
+    """Running and neighbouring values of each customer's orders."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.row_number().over(w).cast("bigint").alias("nth"), F.lag("o_orderkey").over(w).alias("before"), F.ntile(4).over(w).cast("bigint").alias("quarter"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 4).alias("mean_of_three"))
+
+
 QUERIES = {
+    "f8_name_similarity": f8_name_similarity, "a29_rollup": a29_rollup, "j11_within_distance": j11_within_distance, "w1_frames": w1_frames,
     "f1_survey_numbers": f1_survey_numbers, "f2_siblings": f2_siblings, "f4_scripts": f4_scripts, "f11_check_characters": f11_check_characters, "f12_geohash": f12_geohash, "f14_fingerprints": f14_fingerprints,
     "f20_haversine": f20_haversine, "f26_ecef": f26_ecef, "g1_measures": g1_measures, "t1_rules": t1_rules, "l2_ledger": l2_ledger, "l3_merkle": l3_merkle,
 }
@@ -98,6 +130,12 @@ n AS (SELECT p_partkey, regexp_replace(upper(regexp_replace(regexp_replace(raw,
 _PHI = "radians(lat)"
 
 ORACLES = {
+    "f8_name_similarity": "SELECT s_suppkey, round(jaro_winkler_similarity(lower(s_name), lower(n_name)), 6) AS similarity FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "a29_rollup": """SELECT r_name, n_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, grouping(r_name, n_name, c_mktsegment) AS level
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""",
+    "j11_within_distance": with_layers("buildings") + """, c AS (SELECT fid, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM buildings)
+SELECT a.fid AS id_a, b.fid AS id_b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM c AS a JOIN c AS b ON a.fid < b.fid AND b.x BETWEEN a.x - 18 AND a.x + 18 AND b.y BETWEEN a.y - 18 AND a.y + 18 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 18""",
+    "w1_frames": """SELECT o_orderkey, row_number() OVER w AS nth, lag(o_orderkey) OVER w AS before, ntile(4) OVER w AS quarter, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS mean_of_three FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "f1_survey_numbers": _NUMBERS + " SELECT p_partkey, number FROM n",
     "f2_siblings": _NUMBERS + " SELECT split_part(number, '/', 1) AS parent, count(DISTINCT number) AS subdivisions, count(*) AS n FROM n GROUP BY 1",
     "f11_check_characters": """
