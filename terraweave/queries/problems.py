@@ -101,6 +101,31 @@ WITH rows AS (
 )
 SELECT id_a, id_b, 'near' AS relation FROM near
 UNION ALL SELECT least(pid, rid), greatest(pid, rid), 'within' FROM inside""",
+    "p3_found": r"""
+WITH names AS (SELECT field_name, kind, dtype, value_domain, unnest(list_prepend(field_name, aliases)) AS alias FROM canonical_field
+), spelled AS (SELECT DISTINCT field_name, kind, dtype, value_domain, lower(regexp_replace(alias, '[^a-zA-Z0-9]', '', 'g')) AS k FROM names
+), said AS (
+  SELECT c.id, dataset_id, source_feature_id, observed_on, s.*, trim(regexp_replace(value_text, '\s+', ' ', 'g')) AS t, value_num AS x
+  FROM source_claim AS c JOIN spelled AS s ON s.k = lower(regexp_replace(regexp_extract(property_path, '[^.]*$'), '[^a-zA-Z0-9]', '', 'g'))
+  WHERE dataset_id IS NOT NULL AND source_feature_id IS NOT NULL
+), told AS (
+  SELECT *, CASE WHEN lower(t) NOT IN ('', '-', '--', '?', 'na', 'n/a', 'nil', 'none', 'null', 'not known', '-1', '-1.0') THEN t
+    WHEN x <> -1 AND NOT isnan(x) THEN CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE x::VARCHAR END END AS v0 FROM said
+), low AS (SELECT *, lower(translate(v0, '௦௧௨௩௪௫௬௭௮௯', '0123456789')) AS v FROM told WHERE v0 IS NOT NULL
+), parts AS (
+  SELECT *, regexp_extract(v, '(\d+)', 1) AS digits, regexp_extract(v, '([ivxl]+)$', 1) AS numeral, replace(v, ',', '') AS flat,
+    regexp_replace(regexp_replace(regexp_replace(upper(v), '[-/.\\_\s–—]+', '/', 'g'), '^/*0*([0-9])', '\1'), '/+$', '') AS dense FROM low
+), keyed AS (
+  SELECT id, dataset_id, source_feature_id, field_name, observed_on, CASE
+    WHEN dtype = 'int' THEN CASE WHEN digits <> '' THEN digits::BIGINT::VARCHAR WHEN numeral <> '' THEN list_position(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii', 'xiii', 'xiv', 'xv', 'xvi', 'xvii', 'xviii', 'xix', 'xx', 'xxi', 'xxii', 'xxiii', 'xxiv', 'xxv', 'xxvi', 'xxvii', 'xxviii', 'xxix', 'xxx'], numeral)::VARCHAR END
+    WHEN dtype = 'float' THEN round(regexp_extract(flat, '^([0-9.]+)', 1)::DOUBLE * CASE WHEN flat LIKE '%ha' THEN 10000 ELSE 1 END * 100)::BIGINT::VARCHAR
+    WHEN dtype = 'bool' THEN CASE WHEN v IN ('1', 't', 'true', 'y', 'yes') THEN 'true' WHEN v IN ('0', 'f', 'false', 'n', 'no') THEN 'false' END
+    WHEN value_domain IS NOT NULL THEN list_filter(value_domain, lambda d: replace(d, '_', '') = regexp_replace(v, '[^a-z]', '', 'g'))[1]
+    WHEN kind = 'identity' THEN regexp_replace(CASE WHEN regexp_full_match(regexp_replace(dense, '([0-9])/([A-Z])', '\1\2', 'g'), '\d+[A-Z]{0,3}(/[0-9]+[A-Z]*)*') THEN regexp_replace(dense, '([0-9])/([A-Z])', '\1\2', 'g') END, '\s', '', 'g')
+    ELSE nullif(regexp_extract(v, '^(\d+)(\.0+)?$', 1), '') END AS value_key FROM parts
+)
+SELECT dataset_id, source_feature_id, field_name, value_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset_id, source_feature_id, field_name ORDER BY observed_on DESC NULLS LAST, id) AS rn FROM keyed WHERE value_key IS NOT NULL) WHERE rn = 1""",
     "p6_found": """
 WITH loads AS (
   SELECT dataset_id, run_id, count(*) AS n_rows FROM source_feature GROUP BY 1, 2 HAVING count(*) >= 20
