@@ -79,4 +79,36 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p8_packed": p8_packed, "p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": """
+WITH once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS rn FROM source_claim WHERE property_path = 'geometry') WHERE rn = 1 AND entity_id IS NOT NULL
+), members AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS n FROM once QUALIFY n > 1
+), rings AS (SELECT id, unnest(value_geom.rings) AS r FROM members WHERE lower(value_geom.kind) = 'polygon'
+), sides AS (
+  SELECT id, hash(r) AS h, len(r) - 1 AS k, unnest(range(1, len(r))) AS i, r FROM rings WHERE len(r) >= 4
+), seg AS (SELECT id, h, k, i, r[i].x AS ax, r[i].y AS ay, r[i + 1].x AS bx, r[i + 1].y AS by FROM sides
+), crossing AS (
+  SELECT DISTINCT a.id FROM seg AS a JOIN seg AS b ON a.id = b.id AND a.h = b.h AND a.i + 1 < b.i AND NOT (a.i = 1 AND b.i = b.k)
+  WHERE ((a.bx - a.ax) * (b.ay - a.ay) - (a.by - a.ay) * (b.ax - a.ax)) * ((a.bx - a.ax) * (b.by - a.ay) - (a.by - a.ay) * (b.bx - a.ax)) < 0
+    AND ((b.bx - b.ax) * (a.ay - b.ay) - (b.by - b.ay) * (a.ax - b.ax)) * ((b.bx - b.ax) * (a.by - b.ay) - (b.by - b.ay) * (a.bx - b.ax)) < 0
+), fine AS (
+  SELECT id FROM rings GROUP BY id HAVING bool_and(len(r) >= 4 AND r[1] = r[len(r)] AND list_min([p.x FOR p IN r]) >= 80.9 AND list_max([p.x FOR p IN r]) <= 82.5 AND list_min([p.y FOR p IN r]) >= 10.9 AND list_max([p.y FOR p IN r]) <= 12.5
+    AND abs(list_sum([(r[i].x - r[1].x) * (r[i + 1].y - r[1].y) - (r[i + 1].x - r[1].x) * (r[i].y - r[1].y) FOR i IN range(1, len(r))])) > 1e-16)
+), usable AS (
+  SELECT m.id, entity_id, f.id IS NOT NULL AND c.id IS NULL AS geom, CASE WHEN accuracy_m > 0 AND accuracy_m < 100 THEN accuracy_m END AS acc,
+    CASE WHEN observed_on >= DATE '1980-01-01' AND observed_on <= created_at::DATE THEN observed_on END AS day,
+    CASE WHEN isnan(extraction_confidence) THEN NULL WHEN extraction_confidence BETWEEN 0 AND 1 THEN extraction_confidence WHEN extraction_confidence BETWEEN 1 AND 100 THEN round(extraction_confidence / 100, 9) END AS conf
+  FROM members AS m LEFT JOIN fine AS f ON m.id = f.id LEFT JOIN crossing AS c ON m.id = c.id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY acc NULLS LAST, day DESC NULLS LAST, conf DESC NULLS LAST, id) AS rk FROM usable)
+SELECT entity_id, 'value_geom' AS field_name, arg_min(id, rk) AS claim_id FROM ranked WHERE geom GROUP BY 1
+UNION ALL SELECT entity_id, 'accuracy_m', arg_min(id, rk) FROM ranked WHERE acc IS NOT NULL GROUP BY 1
+UNION ALL SELECT entity_id, 'observed_on', arg_min(id, rk) FROM ranked WHERE day IS NOT NULL GROUP BY 1
+UNION ALL SELECT entity_id, 'extraction_confidence', arg_min(id, rk) FROM ranked WHERE conf IS NOT NULL GROUP BY 1""",
+    "p5_found": """
+WITH RECURSIVE m AS (
+  SELECT DISTINCT dataset_id, source_feature_id, dataset_id || '::' || source_feature_id AS f, entity_id AS e FROM source_claim WHERE entity_id IS NOT NULL AND dataset_id IS NOT NULL AND source_feature_id IS NOT NULL
+), links AS (SELECT DISTINCT a.f AS a, b.f AS b FROM m AS a JOIN m AS b USING (e)
+), t AS (SELECT f AS node, f AS root FROM m UNION SELECT links.b, t.root FROM t JOIN links ON links.a = t.node)
+SELECT DISTINCT m.dataset_id, m.source_feature_id, g.group_key FROM m JOIN (SELECT node, min(root) AS group_key FROM t GROUP BY 1) AS g ON g.node = m.f""",
+}

@@ -1,0 +1,16 @@
+from __future__ import annotations
+
+import pytest
+from oracle import oracle_rows, rows_of
+
+from terraweave.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert rows_of(QUERIES[name](spark, sf_dir)) == oracle_rows(ORACLES[name], sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_runs(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() > 0
