@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraweave.operators import raster
 from terraweave.plans.layers import layer, with_layers
-from terraweave.session import checkpoint_dir, table
+from terraweave.session import scratch_path, table
 from terraweave.sources import readers, writers
 from terraweave.streaming import feeds
 
@@ -58,9 +58,7 @@ def k1_geojson(spark, sf_dir):
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"), corner("x1", "y1"))
     p = layer(spark, sf_dir, "parcels_a").select("fid", F.struct(F.lit("Polygon").alias("kind"), F.array(ring).alias("rings")).alias("geom"), "ward", "land_use")
-    import uuid
-
-    path = f"{checkpoint_dir(spark)}/geojson-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "geojson")
     writers.write_geojson_lines(p, path)
     from terraweave.functions import rings
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from terraweave.functions.ground import add_place, first_rows
 from terraweave.operators.eav import eav_to_wide, wide_cells
-from terraweave.operators.profile import departures, profile_loads
+from terraweave.operators.profile import departures, long_values, profile_loads
 from terraweave.operators.proximity import near_and_within
+from terraweave.operators.schema import crosswalk
 from terraweave.session import durable, table
 
 FEATURE = ["dataset_id", "source_feature_id"]
@@ -54,7 +55,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return departures(profile_loads(table(spark, sf_dir, "source_feature"), profile, LOAD), profile, LOAD)
 
 
-QUERIES = {"p6_profile": p6_profile, "p6_found": p6_found, "p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
+def b1_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical field of every property key of every dataset."""
+    values = long_values(table(spark, sf_dir, "source_feature"), ["dataset_id"])
+    out = crosswalk(values, table(spark, sf_dir, "canonical_field"))
+    return out.select("dataset_id", "attribute", "field_name", F.round("score", 6).alias("score"), "state")
+
+
+QUERIES = {"b1_crosswalk": b1_crosswalk, "p6_profile": p6_profile, "p6_found": p6_found, "p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
 ORACLES: dict[str, str] = {
     "p2_found": """
 WITH rows AS (

@@ -58,10 +58,15 @@ def written(df: DataFrame, *partition_by: str) -> str:
 
     The table is removed when the driver's process ends.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    return path
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's process ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
