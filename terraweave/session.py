@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +28,39 @@ def local_session(cores: int = 4, memory: str = "6g", **extra: str) -> SparkSess
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable for Python workers, once per application.
+
+    Where PYTHONPATH names the folder of the package nothing is done; else the
+    package is sent along as a zip file.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    application = spark.sparkContext.applicationId
+    if root in paths or application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    folder = tempfile.mkdtemp(prefix="terraweave-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "terraweave.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for at, _, files in os.walk(os.path.join(root, "terraweave")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    archive.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
