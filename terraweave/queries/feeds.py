@@ -47,12 +47,21 @@ def r4_structures(spark, sf_dir):
     return high.groupBy("region").agg(F.count(F.lit(1)).alias("cells"), F.max("z").alias("tallest"))
 
 
-def r6_zonal(spark, sf_dir):
-    zones = layer(spark, sf_dir, "buildings").where("x2 <= 100 AND y2 <= 40")
+def _zonal(spark, sf_dir, zones):
     z = raster.zonal(_cells(spark, sf_dir), zones)
     return z.select("fid", "cells", F.round("mean", 6).alias("mean"), "max", F.round("deviation", 6).alias("deviation"))
 
 
+def r6_zonal(spark, sf_dir):
+    """The zones of one corner, as its SQL twin has them; r6_zonal_all takes every zone."""
+    return _zonal(spark, sf_dir, layer(spark, sf_dir, "buildings").where("x2 <= 100 AND y2 <= 40"))
+
+
+def r6_zonal_all(spark, sf_dir):
+    """All buildings against all cells."""
+    return _zonal(spark, sf_dir, layer(spark, sf_dir, "buildings"))
+
+
 def k1_geojson(spark, sf_dir):
     """Parcels written as GeoJSON lines, read again and measured."""
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
@@ -77,7 +86,7 @@ def k6_vertices(spark, sf_dir):
 
 
 QUERIES = {
-    "s1_windows": s1_windows, "s2_sessions": s2_sessions, "sub_deliveries": p18_deliveries, "r2_opening": r2_opening, "r3_slope": r3_slope, "r4_structures": r4_structures, "r6_zonal": r6_zonal,
+    "s1_windows": s1_windows, "s2_sessions": s2_sessions, "sub_deliveries": p18_deliveries, "r2_opening": r2_opening, "r3_slope": r3_slope, "r4_structures": r4_structures, "r6_zonal": r6_zonal, "r6_zonal_all": r6_zonal_all,
     "k1_geojson": k1_geojson, "k3_merge": k3_merge, "k6_vertices": k6_vertices,
 }
 
@@ -96,6 +105,8 @@ s AS (SELECT r, c, atan(sqrt(dx * dx + dy * dy)) AS s, atan2(dy, -dx) AS a, dx +
 SELECT r, c, round(degrees(s), 6) AS slope, CASE WHEN ok IS NULL THEN 0 ELSE round(greatest(cos(0.7853981633974483) * cos(s) + sin(0.7853981633974483) * sin(s) * cos(2.356194490192345 - a), 0), 6) END AS hillshade FROM s""",
     "r6_zonal": with_layers("buildings") + f""", t AS ({_CELLS}), z AS (SELECT * FROM buildings WHERE x2 <= 100 AND y2 <= 40)
 SELECT fid, count(*) AS cells, round(avg(t.z), 6) AS mean, max(t.z) AS max, round(stddev_pop(t.z), 6) AS deviation FROM z JOIN t ON t.c + 0.5 BETWEEN x1 AND x2 AND t.r + 0.5 BETWEEN y1 AND y2 GROUP BY 1""",
+    "r6_zonal_all": with_layers("buildings") + f""", t AS ({_CELLS})
+SELECT fid, count(*) AS cells, round(avg(t.z), 6) AS mean, max(t.z) AS max, round(stddev_pop(t.z), 6) AS deviation FROM buildings JOIN t ON t.c + 0.5 BETWEEN x1 AND x2 AND t.r + 0.5 BETWEEN y1 AND y2 GROUP BY 1""",
     "k1_geojson": with_layers("parcels_a") + " SELECT fid, (x2 - x1) * (y2 - y1) AS area, ward, land_use FROM parcels_a",
     "k3_merge": with_layers("parcels_a", "parcels_b") + " SELECT fid, ward, land_use FROM parcels_b WHERE fid % 3 = 0 UNION ALL SELECT fid, ward, land_use FROM parcels_a WHERE fid NOT IN (SELECT fid FROM parcels_b WHERE fid % 3 = 0)",
     "k6_vertices": with_layers("buildings") + """, c AS (SELECT fid, 0 AS k, round(x1 / 0.001)::BIGINT AS x, round(y1 / 0.001)::BIGINT AS y, 0::BIGINT AS z FROM buildings UNION ALL SELECT fid, 1, round(x2 / 0.001), round(y1 / 0.001), 0 FROM buildings UNION ALL SELECT fid, 2, round(x2 / 0.001), round(y2 / 0.001), 0 FROM buildings
