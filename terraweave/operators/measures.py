@@ -90,3 +90,19 @@ def jensen_shannon(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
     return both.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.sum(part("p")) + F.sum(part("q"))) / 2)).alias("divergence"))
+
+
+def divergence_from_rest(counts: DataFrame, group: str, key: str) -> DataFrame:
+    """Jensen-Shannon divergence (base 2) of the counts ``n`` of every group from those of all other groups; null without others.
+
+    Keys that a group lacks enter by their sum, so no group is crossed with all keys.
+    """
+    total = counts.groupBy(key).agg(F.sum("n").alias("t"))
+    sizes = counts.groupBy(group).agg(F.sum("n").alias("g")).withColumn("all", F.sum("g").over(Window.partitionBy(F.lit(0))))
+    own = counts.join(total, key).join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    p, q = F.col("n") / F.col("g"), (F.col("t") - F.col("n")) / F.nullif(F.col("all") - F.col("g"), F.lit(0))
+    m = (p + q) / 2
+    part = p * F.log2(p / m) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+    # A key of the others only adds q * log2(q / (q / 2)) = q.
+    summed = own.groupBy(group).agg(F.sum(part).alias("s"), F.sum(q).alias("q"))
+    return summed.select(group, F.when(F.col("q").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("s") + 1 - F.col("q")) / 2))).alias("divergence"))

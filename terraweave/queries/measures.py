@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terraweave.operators import linkage as L
 from terraweave.operators import measures as M
 from terraweave.plans.layers import layer, with_layers
-from terraweave.session import table
+from terraweave.session import durable, table
 
 _DIMENSIONS = {
     "placement": "CAST((fid * 7) % 101 AS DOUBLE) / 100",
@@ -84,13 +84,22 @@ def a22_dependencies(spark, sf_dir):
 
 
 def a23_divergence(spark, sf_dir):
-    """Bigram distributions of document texts of two sources of language."""
+    """Bigram distributions of the segments of two groups of nations, as its SQL twin has them; a23_texts takes the documents."""
     d = table(spark, sf_dir, "customer")
     grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_mktsegment") - 1, F.lit(1))), lambda k: F.substring(F.col("c_mktsegment"), k, F.lit(2))))
     half = lambda c: d.where(c).select(grams.alias("gram"), F.lit(1).alias("n"))
     return M.jensen_shannon(half("c_nationkey < 12"), half("c_nationkey >= 12"), "gram").select(F.round("divergence", 6).alias("divergence"))
 
 
+def a23_texts(spark, sf_dir):
+    """Of the texts of every source of documents, the divergence of their bigrams from those of all other sources."""
+    letters = F.split("text", "")
+    grams = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1), lambda a, b: F.concat(a, b))
+    long = table(spark, sf_dir, "documents").where("length(text) > 1")
+    counts = long.select("source", F.explode(grams).alias("gram")).groupBy("source", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return M.divergence_from_rest(durable(counts), "source", "gram").select("source", F.round("divergence", 6).alias("divergence"))
+
+
 def w11_latest(spark, sf_dir):
     """The last event of every user."""
     e = table(spark, sf_dir, "events")
@@ -99,7 +108,7 @@ def w11_latest(spark, sf_dir):
 
 QUERIES = {
     "b4_confidence": b4_confidence, "a2_quality_by_ward": a2_quality_by_ward, "a29_quality_cube": a29_quality_cube, "a9_accuracy": a9_accuracy, "a10_moran": a10_moran, "a11_completeness": a11_completeness,
-    "a17_built_form": a17_built_form, "a20_profile": a20_profile, "a22_dependencies": a22_dependencies, "a23_divergence": a23_divergence, "w11_latest": w11_latest,
+    "a17_built_form": a17_built_form, "a20_profile": a20_profile, "a22_dependencies": a22_dependencies, "a23_divergence": a23_divergence, "a23_texts": a23_texts, "w11_latest": w11_latest,
 }
 
 _RATED = with_layers("parcels_a") + ",\nd AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in _DIMENSIONS.items()) + """ FROM parcels_a),

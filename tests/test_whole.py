@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+from collections import Counter
 
 import pytest
 from oracle import oracle_rows, rows_of
@@ -20,3 +22,22 @@ def test_zonal_takes_every_zone_on_the_raster(spark, larger):
     got = rows_of(catalogue.queries()["r6_zonal_all"](spark, larger))
     assert got == oracle_rows(catalogue.oracles()["r6_zonal_all"], larger)
     assert len(got[1]) > catalogue.queries()["r6_zonal"](spark, larger).count()
+
+
+def test_divergence_reads_the_whole_texts(spark, sf_dir):
+    counts: dict[str, Counter] = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text").collect():
+        if r.text and len(r.text) > 1:
+            counts.setdefault(r.source, Counter()).update(r.text[i : i + 2] for i in range(len(r.text) - 1))
+    whole = sum(counts.values(), Counter())
+    want = {}
+    for source, own in counts.items():
+        rest = whole - own
+        a, b, out = sum(own.values()), sum(rest.values()), 0.0
+        for gram in whole:
+            p, q = own[gram] / a, rest[gram] / b
+            out += sum(x * math.log2(2 * x / (p + q)) for x in (p, q) if x) / 2
+        want[source] = out
+    got = {r.source: r.divergence for r in catalogue.queries()["a23_texts"](spark, sf_dir).collect()}
+    assert len(want) > 1 and got.keys() == want.keys()
+    assert all(abs(got[s] - want[s]) < 2e-6 for s in want)
