@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int = 4, memory: str = "6g", **extra: str) -> SparkSession:
@@ -33,6 +33,7 @@ def local_session(cores: int = 4, memory: str = "6g", **extra: str) -> SparkSess
 
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -97,7 +98,9 @@ def written(df: DataFrame, *partition_by: str) -> str:
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared folder, removed when the driver's process ends."""
     path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _SCRATCH:
+        atexit.register(release)
+    _SCRATCH.append((spark, path))
     return path
 
 
@@ -115,6 +118,24 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def durable_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``durable`` with aggregates of the rows taken while they are written, so no second job reads them.
+
+    A task that is repeated after the loss of an executor may be counted
+    twice; what is zero stays zero.
+    """
+    seen = Observation()
+    out = durable(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, seen.get
+
+
+def release() -> None:
+    """Remove all tables that were stored so far; for drivers that live long, when the results have been read."""
+    for spark, path in _SCRATCH:
+        _remove(spark, path)
+    _SCRATCH.clear()
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove the tables behind frames that nothing will read again."""
     for frame in frames:
