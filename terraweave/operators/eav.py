@@ -2,9 +2,11 @@
 
 Method: the statements are parsed once, reduced to one value per entity and
 attribute with partial aggregation (so a hot entity never gathers its rows),
-and partitioned by attribute into typed narrow tables.  The narrow tables are
-hash-partitioned by entity and combined in a balanced tree of full outer
-joins, so the longest chain has the logarithm of the number of attributes.
+and partitioned by attribute into typed narrow tables.  Each narrow table is
+co-partitioned by entity once and joined to the spine of all entities.  The
+joins are outer joins from the spine and not a tree of full outer joins: a full
+outer join loses its partitioning, so every level of a tree would shuffle
+again, whereas all joins from the spine run in one stage over sorted inputs.
 """
 
 from __future__ import annotations
@@ -73,12 +75,15 @@ def resolved_values(claims: DataFrame, fields: DataFrame, entity: list[str]) ->
     return valued.groupBy(*entity, "field_name").agg(F.max_by("value", rank).alias("value")).where("value is not null")
 
 
-def balanced_outer(tables: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Full outer join of all tables on ``keys`` as a balanced tree."""
-    while len(tables) > 1:
-        paired = [a.join(b, keys, "full_outer") for a, b in zip(tables[::2], tables[1::2])]
-        tables = paired + tables[len(paired) * 2 :]
-    return tables[0]
+def joined_to_spine(spine: DataFrame, tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Outer join of all tables to the spine, which has every key once; one exchange a table.
+
+    Sort-merge joins are asked for: sizes of stored tables are those of
+    compressed files and bound no broadcast.
+    """
+    for t in tables:
+        spine = spine.join(t.hint("merge"), keys, "left")
+    return spine
 
 
 def eav_to_wide(claims: DataFrame, fields: DataFrame, entity: list[str]) -> DataFrame:
@@ -91,12 +96,13 @@ def eav_to_wide(claims: DataFrame, fields: DataFrame, entity: list[str]) -> Data
     names.
     """
     spark = claims.sparkSession
+    # One entry a column of the result.
     columns = [(r["field_name"], SQL_TYPES.get(r["dtype"], "string")) for r in fields.where("field_name is not null").select("field_name", "dtype").distinct().orderBy("field_name").collect()]
     schema = ", ".join(f"`{e}` {t}" for e, t in claims.select(*entity).dtypes) + ", value string, field_name string"
     path = written(resolved_values(claims, fields, entity), "field_name")
     stored = spark.read.schema(schema).parquet(path)
     narrow = [stored.where(F.col("field_name") == name).select(*entity, F.col("value").cast(kind).alias(name)) for name, kind in columns]
-    return balanced_outer(narrow, entity)
+    return joined_to_spine(stored.select(*entity).distinct(), narrow, entity)
 
 
 def wide_cells(wide: DataFrame, entity: list[str]) -> DataFrame:
