@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions.ground import add_place, first_rows
 from terraweave.operators.eav import eav_to_wide, wide_cells
-from terraweave.operators.profile import departures, long_values, profile_loads
+from terraweave.operators.profile import control_limits, departures, long_values, merged_states, profile_loads, profile_of, profile_states
 from terraweave.operators.proximity import near_and_within
 from terraweave.operators.schema import crosswalk
 from terraweave.session import durable, table
@@ -46,7 +46,33 @@ LOAD = ["dataset_id", "run_id"]
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every attribute of every load."""
     wide = profile_loads(table(spark, sf_dir, "source_feature"), table(spark, sf_dir, "dataset_profile"), LOAD)
-    return wide.select(*LOAD, "attribute", "rows", "values", "null_rate", "n_distinct", "pattern_share", "digits", "least", "most")
+    return _shown(wide)
+
+
+def _shown(profiled: DataFrame) -> DataFrame:
+    return profiled.select(*LOAD, "attribute", "rows", "values", F.round("null_rate", 9).alias("null_rate"), "n_distinct", F.round("pattern_share", 9).alias("pattern_share"), "digits", "least", "most")
+
+
+def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every load, merged from stored states of the days on which its rows came in."""
+    profile = table(spark, sf_dir, "dataset_profile")
+    features = table(spark, sf_dir, "source_feature").withColumn("day", F.to_date("ingested_at"))
+    days = durable(profile_states(features, profile, [*LOAD, "day"]))
+    return _shown(profile_of(durable(merged_states(days, [*LOAD, "attribute"])), profile, LOAD)).drop("n_distinct")
+
+
+def p6_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values, matches and extremes of every attribute of every dataset, rolled up from the states of its loads."""
+    loads = durable(profile_states(table(spark, sf_dir, "source_feature"), table(spark, sf_dir, "dataset_profile"), LOAD))
+    whole = merged_states(loads, ["dataset_id", "attribute"]).where("attribute is not null")
+    return whole.select("dataset_id", "attribute", F.col("n").alias("values"), "n_match", "numbers", "least", "most", "above", "below")
+
+
+def p6_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null rate of every attribute of every load against control limits of the dataset's earlier loads."""
+    profiled = profile_loads(table(spark, sf_dir, "source_feature"), table(spark, sf_dir, "dataset_profile"), LOAD).where("null_rate is not null")
+    out = control_limits(profiled, ["dataset_id", "attribute"], "run_id", "null_rate", least_history=2)
+    return out.select(*LOAD, "attribute", F.round("null_rate", 6).alias("null_rate"), "history_n", F.round("history_mean", 6).alias("history_mean"), F.round("history_deviation", 6).alias("history_deviation"), "out_of_control")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +88,34 @@ def b1_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dataset_id", "attribute", "field_name", F.round("score", 6).alias("score"), "state")
 
 
-QUERIES = {"b1_crosswalk": b1_crosswalk, "p6_profile": p6_profile, "p6_found": p6_found, "p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
+QUERIES = {"b1_crosswalk": b1_crosswalk, "p6_merged": p6_merged, "p6_datasets": p6_datasets, "p6_control": p6_control, "p6_profile": p6_profile, "p6_found": p6_found, "p2_found": p2_found, "p3_wide": p3_wide, "p3_found": p3_found}
+_PROFILED = """
+WITH loads AS (SELECT dataset_id, run_id, count(*) AS n_rows FROM source_feature GROUP BY 1, 2
+), pairs AS (SELECT dataset_id, run_id, unnest(map_entries(properties)) AS kv FROM source_feature
+), vals AS (SELECT dataset_id, run_id, kv.key AS attribute, kv.value AS v FROM pairs WHERE trim(kv.value) <> ''
+), measured AS (
+  SELECT v.dataset_id, v.run_id, v.attribute, count(*) AS n, count(DISTINCT v.v) AS d, sum(CASE WHEN p.value_pattern IS NOT NULL THEN regexp_full_match(v.v, p.value_pattern)::INT END) AS k,
+    count(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) AS numbers, min(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) AS lo, max(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) AS hi,
+    CASE WHEN count(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) > 0 THEN count_if(try_cast(v.v AS DOUBLE) > 2 * p.value_median) END AS above,
+    CASE WHEN count(CASE WHEN p.value_median IS NOT NULL THEN try_cast(v.v AS DOUBLE) END) > 0 THEN count_if(try_cast(v.v AS DOUBLE) < p.value_median / 2) END AS below
+  FROM vals AS v LEFT JOIN dataset_profile AS p ON p.dataset_id = v.dataset_id AND p.attribute = v.attribute GROUP BY 1, 2, 3
+), points AS (SELECT dataset_id, run_id, unnest(flatten(geom.rings)) AS q FROM source_feature
+), digits AS (
+  SELECT dataset_id, run_id, max(greatest(length(split_part(q.x::VARCHAR, '.', 2)) * (q.x <> round(q.x))::INT, length(split_part(q.y::VARCHAR, '.', 2)) * (q.y <> round(q.y))::INT)) AS digits FROM points GROUP BY 1, 2
+), wanted AS (SELECT l.dataset_id, l.run_id, p.attribute FROM loads AS l JOIN dataset_profile AS p USING (dataset_id) WHERE p.attribute IS NOT NULL UNION SELECT dataset_id, run_id, attribute FROM measured
+), profiled AS (
+  SELECT w.*, l.n_rows AS "rows", coalesce(m.n, 0) AS "values", CASE WHEN w.attribute <> 'geom' THEN round(1 - coalesce(m.n, 0) / l.n_rows, 9) END AS null_rate, m.d AS n_distinct, round(m.k / m.n, 9) AS pattern_share,
+    CASE WHEN w.attribute = 'geom' THEN g.digits END AS digits, m.lo AS least, m.hi AS most
+  FROM wanted AS w JOIN loads AS l USING (dataset_id, run_id) LEFT JOIN measured AS m USING (dataset_id, run_id, attribute) LEFT JOIN digits AS g USING (dataset_id, run_id)
+)"""
+
 ORACLES: dict[str, str] = {
+    "p6_profile": _PROFILED + " SELECT * FROM profiled",
+    "p6_merged": _PROFILED + " SELECT * EXCLUDE (n_distinct) FROM profiled",
+    "p6_datasets": _PROFILED + " SELECT dataset_id, attribute, sum(n)::BIGINT AS \"values\", sum(k)::BIGINT AS n_match, sum(numbers)::BIGINT AS numbers, min(lo) AS least, max(hi) AS most, sum(above)::BIGINT AS above, sum(below)::BIGINT AS below FROM measured GROUP BY 1, 2",
+    "p6_control": _PROFILED + """, h AS (SELECT *, 1 - "values" / "rows" AS r FROM profiled WHERE null_rate IS NOT NULL
+), past AS (SELECT *, count(r) OVER w AS history_n, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s FROM h WINDOW w AS (PARTITION BY dataset_id, attribute ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT dataset_id, run_id, attribute, round(r, 6) AS null_rate, history_n, round(m, 6) AS history_mean, round(s, 6) AS history_deviation, coalesce(history_n >= 2 AND abs(r - m) > 3 * s, false) AS out_of_control FROM past""",
     "p2_found": """
 WITH rows AS (
   SELECT *, row_number() OVER (PARTITION BY dataset_id, source_feature_id ORDER BY id) AS rn FROM source_feature
