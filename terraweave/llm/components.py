@@ -1,14 +1,20 @@
 """Pairwise matches consolidated into groups.
 
 Method: minimum labels are propagated across the links and accelerated with
-pointer jumping; every round is cut with a table in the shared checkpoint folder and the loop
-ends when no label changes.  Each round hooks every node onto its smallest
-neighbour, jumps the pointers to the roots and rewrites the links between
-roots, so the links left shrink by at least half and the number of rounds is
-logarithmic in the longest chain.
-
-Nothing is gathered on the driver but counts, and no group is ever held by one
-task: hot anchors are reduced by partial minima and joined with salt.
+pointer jumping; every round is cut with a table in the shared checkpoint
+folder and the loop ends when no label changes.  Each round hooks every node
+onto its smallest neighbour, jumps the pointers to the roots (two levels a
+pass) and rewrites the links between roots.  A node that has a smaller
+neighbour is gone after the round; what stays are the nodes that are smaller
+than all their neighbours, and the links between the groups they head.  A
+chain is halved at least; a star whose centre is its largest node needs two
+rounds.
+
+Nothing is gathered on the driver but counts, which are observed while a table
+is written, and no group is ever held by one task: hot anchors are reduced by
+partial minima and joined with salt.  The joins of the rounds are sort-merge
+joins: the size of a stored table is that of compressed files, which bounds no
+broadcast.
 """
 
 from __future__ import annotations
@@ -16,42 +22,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.session import discard, durable
+from terraweave.session import discard, durable, durable_counted
 
 #: An anchor of more links than this, and than a HOT_SHARE-th of all links, is joined with salt.
 HOT_LINKS = 50_000
 HOT_SHARE = 10_000
 
 
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def _stored_links(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct links, larger node first, and whether there are any."""
+    links, seen = durable_counted(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n=F.count(F.lit(1)))
+    return links, seen["n"]
+
+
 def minimum_labels(pairs: DataFrame) -> DataFrame | None:
     """(node, root) of every node that is not the smallest of its group.
 
     ``pairs``: columns a and b of one orderable type; nulls and self-pairs are
     ignored.  Returns None where no pair links two nodes.
     """
-    links = durable(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links, left_over = _stored_links(pairs)
     roots = None
-    while not links.isEmpty():
+    while left_over:
         parent = _jumped(durable(links.groupBy("a").agg(F.min("b").alias("p"))))
         hooked, stale = parent.select(F.col("a").alias("node"), F.col("p").alias("root")), roots
         if roots is not None:
-            hooked = hooked.unionByName(roots.join(parent, roots["root"] == parent["a"], "left").select("node", F.coalesce("p", "root").alias("root")))
+            hooked = hooked.unionByName(_merge(roots, parent, roots["root"] == parent["a"], "left").select("node", F.coalesce("p", "root").alias("root")))
         roots = durable(hooked)
         left, right = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        before, raised = links, links.join(left, "a").join(right, "b", "left").select(F.col("pa"), F.coalesce("pb", "b").alias("pb"))
-        links = durable(raised.where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
+        before, raised = links, _merge(_merge(links, left, "a"), right, "b", "left").select(F.col("pa").alias("a"), F.coalesce("pb", "b").alias("b"))
+        links, left_over = _stored_links(raised)
         discard(before, parent, *([stale] if stale else []))
     return roots
 
 
 def _jumped(parent: DataFrame) -> DataFrame:
-    """Pointer jumping until every parent is a root."""
+    """Pointer jumping, two levels a pass, until every parent is a root."""
     while True:
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        jumped = durable(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+        one = parent.select(F.col("a").alias("p"), F.col("p").alias("p1"))
+        two = parent.select(F.col("a").alias("p1"), F.col("p").alias("p2"))
+        far = _merge(_merge(parent, one, "p", "left"), two, "p1", "left")
+        jumped, seen = durable_counted(far.select("a", F.coalesce("p2", "p1", "p").alias("p"), F.col("p2").isNotNull().alias("moved")), moved=F.count_if("moved"))
         discard(parent)
         parent = jumped
-        if jumped.where("moved").isEmpty():
+        # Where no grandparent had a parent, all pointers end at roots now.
+        if not seen["moved"]:
             return parent
 
 
@@ -66,11 +85,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, links:
     limit = max(HOT_LINKS, total // HOT_SHARE)
     hot = small.where(F.col(links) > limit).select(key, (F.col(links) / limit).cast("bigint").alias("_ways"))
     if hot.isEmpty():
-        return big.join(small.drop(links), key)
+        return _merge(big, small.drop(links), key)
     salted = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_ways", F.lit(0).cast("bigint")) + 1)).drop("_ways")
     ways = F.when(F.col(links) > limit, (F.col(links) / limit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), ways))).drop(links)
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return _merge(salted, copies, [key, "_salt"]).drop("_salt")
 
 
 def consolidated(links: DataFrame) -> DataFrame:
@@ -87,8 +106,8 @@ def consolidated(links: DataFrame) -> DataFrame:
     links = durable(links.select("record", "anchor").dropna().distinct())
     base = durable(links.groupBy("anchor").agg(F.min("record").alias("b"), F.count(F.lit(1)).alias("n")))
     several = links.groupBy("record").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("record")
-    ties = salted_join(links.join(several, "record", "left_semi"), base, "anchor", "record", "n").select(F.col("record").alias("a"), "b")
+    ties = salted_join(_merge(links, several, "record", "left_semi"), base, "anchor", "record", "n").select(F.col("record").alias("a"), "b")
     roots = minimum_labels(ties)
     if roots is not None:
-        base = base.join(roots, base["b"] == roots["node"], "left").select("anchor", F.coalesce("root", "b").alias("b"), "n")
+        base = _merge(base, roots, base["b"] == roots["node"], "left").select("anchor", F.coalesce("root", "b").alias("b"), "n")
     return salted_join(links, base, "anchor", "record", "n").groupBy("record").agg(F.min("b").alias("group"))
