@@ -1,19 +1,27 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
-Method: the merge list is compiled, merge by merge, into a deterministic
-automaton whose states are tokens and whose arcs are labelled with the token
-they emit.  Every merge is a gadget: it gives its token a birth (its rank) and
-its two parts a death.  Two tokens may follow each other if no gadget joins
-what lies left and right of the border while both are alive; such pairs are the
-arcs.  As there are up to 50,000 squared of them, an arc is determinised when
-it is first asked for and kept in a table.  A word is encoded by table-driven
-transitions: longest arc first, a dead end marks its position and steps back,
-so no position is expanded twice.  Decoding emits the labels of the arcs.
+Method: the merge list is compiled into a deterministic automaton by adding one
+gadget a merge.  The states are tokens (the last one read), the arcs carry the
+token they emit.  The gadget of a merge (u, v) -> w takes the arc v from state
+u and brings in state w, which has the arcs of v as they are then and is
+reached wherever u is reached then.  A sequence of tokens is a path exactly if
+it is what the merges make of its text.
+
+Nothing is copied for a new state: the arcs it lacks are what its parts lack at
+its birth, so the automaton is kept in arrays with one entry a merge.  Tokens
+are numbered in preorder of their left parts; what a gadget closes is then at
+most two intervals of numbers, and an arc is looked up by bisection.  The row of
+a state is put together when the state is first entered.
+
+A word is encoded in one pass: every position is reached by exactly one path,
+since every beginning of a word has exactly one encoding, so from each position
+all arcs are followed once and nothing is ever taken back.  The labels of the
+arcs are emitted from the end.  Decoding is their concatenation.
 
 Pre-splitting is vectorised: a text is cut by the classes of neighbouring code
 points (numpy over the UTF-8 buffer of an Arrow batch), the words are
 dictionary-encoded in Arrow, and the automaton only runs over words a worker
-has not met before.
+has not met before.  The vocabulary file is sent to the executors by the driver.
 """
 
 from __future__ import annotations
@@ -21,11 +29,13 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of the vocabulary files where no other is given.
 VOCABULARIES = os.environ.get("TERRAWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -55,101 +65,131 @@ class TokenAutomaton:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         names = byte_names()
-        label = lambda token: bytes(names[c] for c in token)
         vocabulary = {token: i for token, i in model["vocab"].items() if all(c in names for c in token)}
-        self.label = {i: label(token) for token, i in vocabulary.items()}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.birth = {i: -1 for i in self.label}
-        self.gadget: dict[tuple[int, int], int] = {}
+        self.label = {i: bytes(names[c] for c in token) for token, i in vocabulary.items()}
+        size = max(self.label, default=-1) + 1
+        self.parts: tuple[list[int], list[int]] = ([-1] * size, [-1] * size)
+        self.birth = [-1] * size
+        self.closing: dict[tuple[int, int], int] = {}
+        self.closed: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        self.grown: list[list[int]] = [[] for _ in range(size)]
+        roots = [i for i, text in self.label.items() if len(text) == 1]
+        self.states = set(roots)
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pair, joined = (vocabulary[left], vocabulary[right]), vocabulary[left + right]
-            self.gadget.setdefault(pair, rank)
-            if joined not in self.parts:
-                self.parts[joined], self.birth[joined] = pair, rank
-        self.single = {text: i for i, text in self.label.items() if len(text) == 1 or i in self.parts}
-        self.next: list[dict[int, int]] = [{}]
-        self.emits: list[int] = [-1]
-        for text, i in self.single.items():
-            state = 0
-            for byte in text:
-                if byte not in self.next[state]:
-                    self.next[state][byte] = len(self.next)
-                    self.next.append({})
-                    self.emits.append(-1)
-                state = self.next[state][byte]
-            self.emits[state] = i
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-
-    def _border(self, token: int, side: int) -> list[tuple[int, int]]:
+            self._add_gadget(rank, vocabulary[left], vocabulary[right], vocabulary[left + right])
+        self._number(roots)
+        self.rows: dict[int, tuple[list[int], list[int]]] = {}
+        self.spans: dict[int, tuple[list[int], np.ndarray]] = {}
+        # The labels as a tree of bytes: node * 256 + byte leads to a node; a node may end a label.
+        self.next: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for i in self.states:
+            node = 0
+            for byte in self.label[i]:
+                step = node * 256 + byte
+                node = self.next.get(step, -1)
+                if node < 0:
+                    node = self.next[step] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[node] = i
+
+    def _add_gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        """Close arc v of state u and bring in state w; a merge whose arc is closed already never happens."""
+        if u not in self.states or v not in self.states or self._is_closed(u, v, rank):
+            return
+        self.closing[u, v] = rank
+        self.closed[u].append((rank, v))
+        if w not in self.states:
+            self.states.add(w)
+            self.parts[0][w], self.parts[1][w], self.birth[w] = u, v, rank
+            self.grown[u].append(w)
+
+    def _border(self, token: int, side: int) -> Iterator[tuple[int, int]]:
         """What stands at one border of a token while it is built: (part, death), newest first."""
-        known = self.edges[side].get(token)
+        death = _FOREVER
+        while token >= 0:
+            yield token, death
+            death, token = self.birth[token], self.parts[side][token]
+
+    def _is_closed(self, x: int, y: int, before: int) -> bool:
+        """Whether state x has lost its arc y by some gadget before a rank."""
+        right = list(self._border(y, 0))
+        for a, a_dies in self._border(x, 1):
+            for b, b_dies in right:
+                rank = self.closing.get((a, b), before)
+                # Of equal ranks the leftmost merge goes first.
+                if rank < before and rank < a_dies and rank <= b_dies:
+                    return True
+        return False
+
+    def _number(self, roots: list[int]) -> None:
+        """Preorder numbers by left parts, and where the numbers of each token's descendants end."""
+        self.at, self.until = [-1] * len(self.birth), [-1] * len(self.birth)
+        count, stack = 0, [(r, False) for r in reversed(roots)]
+        while stack:
+            token, left_behind = stack.pop()
+            if left_behind:
+                self.until[token] = count
+                continue
+            self.at[token] = count
+            count += 1
+            stack.append((token, True))
+            stack.extend((w, False) for w in reversed(self.grown[token]))
+
+    def _closed_spans(self, token: int) -> tuple[list[int], np.ndarray]:
+        """Ranks and number intervals of what a token's own gadgets close, in the order of the ranks."""
+        known = self.spans.get(token)
         if known is None:
-            known, death, part = [], _FOREVER, token
-            while True:
-                known.append((part, death))
-                if part not in self.parts:
-                    break
-                death, part = self.birth[part], self.parts[part][side]
-            self.edges[side][token] = known
+            ranks, spans = [], []
+            for rank, v in self.closed[token]:
+                # Closed are v and what grows from it on the right of the border no sooner than this merge.
+                later = bisect_left(self.grown[v], rank, key=self.birth.__getitem__)
+                first = self.at[self.grown[v][later]] if later < len(self.grown[v]) else self.until[v]
+                ranks.append(rank)
+                spans.append((self.at[v], self.at[v] + 1, first, self.until[v]))
+            known = self.spans[token] = ranks, np.array(spans, np.int64).reshape(-1, 4)
+        return known
+
+    def row(self, state: int) -> tuple[list[int], list[int]]:
+        """The closed arcs of a state: begins of the intervals, and the furthest end so far."""
+        known = self.rows.get(state)
+        if known is None:
+            own = [self._closed_spans(part) for part, _ in self._border(state, 1)]
+            cut = [spans[: bisect_left(ranks, dies)] for (ranks, spans), (_, dies) in zip(own, self._border(state, 1))]
+            pairs = np.concatenate(cut).reshape(-1, 2)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            known = self.rows[state] = pairs[:, 0].tolist(), np.maximum.accumulate(pairs[:, 1]).tolist()
         return known
 
     def arc(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left``: no merge ever crosses the border between them."""
-        key = (left, right)
-        open_ = self.arcs.get(key)
-        if open_ is None:
-            open_ = True
-            for x, x_dies in self._border(left, 1):
-                for y, y_dies in self._border(right, 0):
-                    rank = self.gadget.get((x, y))
-                    # Of equal ranks the leftmost merge goes first.
-                    if rank is not None and rank < x_dies and rank <= y_dies:
-                        open_ = False
-            if len(self.arcs) > MOST_WORDS:
-                self.arcs.clear()
-            self.arcs[key] = open_
-        return open_
-
-    def _labels_at(self, word: bytes, at: int) -> list[int]:
-        """Tokens that start at a position, longest last."""
-        found, state, transitions = [], 0, self.next
-        for byte in word[at:]:
-            state = transitions[state].get(byte)
-            if state is None:
-                break
-            if self.emits[state] >= 0:
-                found.append(self.emits[state])
-        return found
+        """Whether state ``left`` has the arc ``right``."""
+        begins, ends = self.row(left)
+        number = self.at[right]
+        k = bisect_right(begins, number) - 1
+        return k < 0 or ends[k] <= number
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        if word in self.single:
-            return [self.single[word]]
-        path: list[int] = []
-        choices = [self._labels_at(word, 0)]
-        at, ends, dead = 0, [0], set()
-        while at < len(word):
-            options, step = choices[-1], None
-            while options:
-                token = options.pop()
-                end = at + len(self.label[token])
-                if end not in dead and (not path or self.arc(path[-1], token)):
-                    step = token, end
+        step, label_ends, at = self.next, self.ends, self.at
+        reached = [-1] * (len(word) + 1)
+        for i in range(len(word)):
+            begins, ends = self.row(reached[i]) if i else ((), ())
+            node = 0
+            for j in range(i, len(word)):
+                node = step.get(node * 256 + word[j], -1)
+                if node < 0:
                     break
-            if step is None:
-                dead.add(at)
-                choices.pop()
-                path.pop()
-                ends.pop()
-                at = ends[-1]
-            else:
-                token, at = step
-                path.append(token)
-                ends.append(at)
-                choices.append(self._labels_at(word, at))
-        return path
+                token = label_ends[node]
+                if token >= 0 and reached[j + 1] < 0:
+                    k = bisect_right(begins, at[token]) - 1
+                    if k < 0 or ends[k] <= at[token]:
+                        reached[j + 1] = token
+        path, i = [], len(word)
+        while i:
+            path.append(reached[i])
+            i -= len(self.label[reached[i]])
+        return path[::-1]
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 are replaced."""
@@ -317,6 +357,23 @@ def _as_one(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file to the executors, once per application, if the driver has it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SENT and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _SENT.add(key)
+
+
+def _received(path: str) -> str:
+    """Where a worker finds a vocabulary file: what was sent, else the same folder as on the driver."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
 def token_ids(documents: DataFrame, vocabulary: str = BYTE_BPE_50K, key: str = "doc_id", text: str = "text", folder: str = VOCABULARIES) -> DataFrame:
     """(key, ids) of every document, without special tokens.
 
@@ -324,10 +381,11 @@ def token_ids(documents: DataFrame, vocabulary: str = BYTE_BPE_50K, key: str = "
     row, repeated keys included; other columns are not read.
     """
     path = os.path.join(folder, vocabulary)
+    send(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts = encode_batch(_as_one(batch.column(1)), path)
+            ids, counts = encode_batch(_as_one(batch.column(1)), _received(path))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
@@ -337,10 +395,11 @@ def token_ids(documents: DataFrame, vocabulary: str = BYTE_BPE_50K, key: str = "
 def token_counts(documents: DataFrame, vocabulary: str = BYTE_BPE_50K, key: str = "doc_id", text: str = "text", folder: str = VOCABULARIES) -> DataFrame:
     """(key, tokens) of every document; 0 for a null or empty text."""
     path = os.path.join(folder, vocabulary)
+    send(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = encode_batch(_as_one(batch.column(1)), path, keep_ids=False)[1]
+            counts = encode_batch(_as_one(batch.column(1)), _received(path), keep_ids=False)[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], names=[key, "tokens"])
 
     return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, tokens bigint")
