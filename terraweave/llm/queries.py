@@ -74,7 +74,7 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are lists, tables or junk rather than natural prose."""
-    return found_forms(table(spark, sf_dir, "documents"), _text_totals(spark, sf_dir))
+    return found_forms(_text_totals(spark, sf_dir))
 
 
 QUERIES = {"p8_packed": p8_packed, "p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}

@@ -1,13 +1,14 @@
 """Per-document text quality statistics, and prose told from lists, tables and junk.
 
-Method: huge documents are split into chunks; each chunk gives associative
-partial counts.  The lines that lie wholly in a chunk are judged at once; what
-stands before the first and after the last line break stays open as a vector
-of counts together with the state at the border (a word or a token that goes
-on, how the piece begins and ends).  Two neighbouring chunks merge by joining
-the open ends, correcting the counts for what the cut split, and judging the
-line that the join completes.  Merging is a tree: first by groups of chunks,
-then by document.  Ratios and rule outcomes come from the merged counts.
+Method: long texts are split into chunks; each chunk gives associative partial
+counts.  The lines that lie wholly in a chunk are judged at once; what stands
+before the first and after the last line break stays open, as counts together
+with the state at its borders: the first and the last runs of one kind of
+signs, the token that goes on, the word that may be split.  Two neighbouring
+pieces merge by joining the runs and the token at the cut and counting what the
+join completes, so the counts are the same wherever a text is cut.  Merging is
+a tree: chunks to parts where the text is read, parts to documents after that.
+Ratios and rule outcomes come from the merged counts.
 
 The counts are vectorised over the UTF-8 buffer of an Arrow batch; words are
 compared with the list of frequent words in Arrow.
@@ -15,6 +16,7 @@ compared with the list of frequent words in Arrow.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,12 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraweave.llm.tokenizer import code_points
+from terraweave.session import durable
 
-#: Code points of a chunk, and chunks that are merged at once.
+#: Bytes of a chunk, and chunks that are merged to a part where the text is read.
 CHUNK = 1 << 16
 FAN_IN = 64
-#: How far behind a nominal edge white space is looked for.
-SEEK = 1024
 #: Texts of fewer code points after trimming are no cases.
 LEAST_LENGTH = 20
 
@@ -54,6 +55,7 @@ ENDS = ("mark", "ends_stop", "head", "tail")
 WIDTH = len(COUNTS) + len(ENDS)
 _AT = {name: k for k, name in enumerate(COUNTS + ENDS)}
 
+_LIST_SIGNS = "-*•–·"
 _TABLE: list[np.ndarray] = []
 
 
@@ -73,6 +75,73 @@ def _classes() -> np.ndarray:
     return _TABLE[0]
 
 
+#: Counts of single runs that depend on their neighbours, and counts of tokens.
+CONTEXT = ("stops", "loose_commas", "tight_commas", "wide_gaps", "colons", "keys")
+OF_TOKENS = ("tokens", "long_chars", "short_tokens", "mixed")
+#: Counts that add up but for a word that a cut splits.
+PLAIN = tuple(c for c in COUNTS if c not in CONTEXT + OF_TOKENS)
+
+
+def run_counts(what: np.ndarray, length: np.ndarray, before: np.ndarray, after: np.ndarray, ordinal: np.ndarray, previous: np.ndarray) -> dict[str, np.ndarray]:
+    """CONTEXT of each run; ``before`` and ``after`` are the kinds of its neighbours (BREAK at the ends of
+    a line), ``ordinal`` its place in the line and ``previous`` the length of the run before it."""
+    blank = lambda k: (k == BLANK) | (k == TAB) | (k == BREAK)
+    gap_before, gap_after = blank(before), blank(after)
+    quiet_after = (after == QUIET) | (after == ODD)
+    comma, colon = what == COMMA, what == COLON
+    return {
+        "stops": (what == STOP) & (gap_after | quiet_after) & (before != ODD) & ~((ordinal == 1) & (((before == LETTER) & (previous <= 1)) | (before == DIGIT))),
+        "loose_commas": comma & gap_after & ~gap_before,
+        "tight_commas": comma & ~gap_after,
+        "wide_gaps": (what == BLANK) & (length >= 3) & (ordinal > 0) & (after != BREAK),
+        "colons": colon & gap_after & (ordinal <= 3) & ((before == LETTER) | (before == DIGIT)),
+        "keys": colon & (before == QUIET),
+    }
+
+
+def token_counts(size: np.ndarray, kinds: np.ndarray) -> dict[str, np.ndarray]:
+    """OF_TOKENS of stretches without space: their signs and their runs of letters or digits."""
+    return {"tokens": np.ones_like(size), "long_chars": np.where(size >= 30, size, 0), "short_tokens": (size <= 2).astype(np.int64), "mixed": np.where((kinds >= 4) & (size >= 12), size, 0)}
+
+
+def _is_mark(kinds: list[int], lengths: list[int], signs: list[int]) -> bool:
+    """Whether a line that begins with these runs begins with a list mark: a sign, a number or a letter with a sign, then a blank."""
+    if len(kinds) > 1 and kinds[0] == QUIET and lengths[0] == 1 and chr(signs[0]) in _LIST_SIGNS and kinds[1] == BLANK:
+        return True
+    short = kinds[0] == DIGIT and lengths[0] <= 4 or kinds[0] == LETTER and lengths[0] <= 2
+    return len(kinds) > 2 and short and lengths[1] == 1 and (kinds[1] == STOP and signs[1] == 0x2E or signs[1] == 0x29) and kinds[2] == BLANK
+
+
+class _Runs:
+    """The runs of one kind of signs in a UTF-8 buffer; a line break is a run of its own."""
+
+    def __init__(self, data: np.ndarray, begins: np.ndarray, common: pa.Array):
+        cp, at = code_points(data)
+        kind = _classes()[cp]
+        self.first = np.searchsorted(at, begins)
+        cut = np.zeros(len(cp), bool)
+        cut[0] = True
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == BREAK)
+        cut[self.first] = True
+        self.run = np.flatnonzero(cut)
+        self.length = np.diff(np.append(self.run, len(cp)))
+        self.what, self.sign = kind[self.run].astype(np.int64), cp[self.run]
+        self.bounds = np.append(at[self.run], len(data)).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(self.run), pa.py_buffer(self.bounds), pa.py_buffer(np.ascontiguousarray(data)))
+        self.common = pc.is_in(texts, value_set=common).to_numpy(zero_copy_only=False) & (self.what == LETTER)
+
+    def plain(self) -> dict[str, np.ndarray]:
+        """PLAIN of each run."""
+        length, what = self.length, self.what
+        space = (what == BLANK) | (what == TAB)
+        word = what == LETTER
+        of = lambda k: length * (what == k)
+        return {
+            "chars": length * (what != BREAK), "letters": of(LETTER), "digits": of(DIGIT), "blanks": length * space, "odd": of(ODD), "words": word.astype(np.int64), "common": self.common.astype(np.int64),
+            "word_letters": np.where(word, length, 0), "tabs": of(TAB), "pipes": of(PIPE),
+        }
+
+
 def stretch_counts(data: np.ndarray, begins: np.ndarray, common: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts of every line of the texts in a UTF-8 buffer.
 
@@ -80,80 +149,43 @@ def stretch_counts(data: np.ndarray, begins: np.ndarray, common: pa.Array) -> tu
     index of the text of each line).  A line break ends a line and belongs to
     it without being counted.
     """
-    cp, at = code_points(data)
-    kind = _classes()[cp]
-    first = np.searchsorted(at, begins)
-    cut = np.zeros(len(cp), bool)
-    cut[0] = True
-    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == BREAK)
-    cut[first] = True
-    run = np.flatnonzero(cut)
-    length = np.diff(np.append(run, len(cp)))
-    what = kind[run]
-    # Lines begin at a text's begin and after a break (a run of its own).
+    r = _Runs(data, begins, common)
+    what, length, run = r.what, r.length, r.run
+    # Lines begin at a text's begin and after a break.
     opens = np.zeros(len(run), bool)
-    opens[np.searchsorted(run, first)] = True
+    opens[np.searchsorted(run, r.first)] = True
     opens[1:] |= what[:-1] == BREAK
     line_at = np.flatnonzero(opens)
     line = np.cumsum(opens) - 1
     lines = len(line_at)
     out = np.zeros((lines, WIDTH))
 
-    def add(name: str, weights: np.ndarray) -> None:
-        out[:, _AT[name]] = np.add.reduceat(weights, line_at)
-
-    solid = what != BREAK
-    add("chars", length * solid)
-    for name, k in (("letters", LETTER), ("digits", DIGIT), ("odd", ODD)):
-        add(name, length * (what == k))
-    space = (what == BLANK) | (what == TAB)
-    add("blanks", length * space)
-    word = what == LETTER
-    add("words", word.astype(np.int64))
-    bounds = np.append(at[run], len(data)).astype(np.int32)
-    texts = pa.StringArray.from_buffers(len(run), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
-    add("common", (pc.is_in(texts, value_set=common).to_numpy(zero_copy_only=False) & word).astype(np.int64))
-    before, after = np.append(-1, what[:-1]), np.append(what[1:], -1)
+    def add(counts: dict[str, np.ndarray]) -> None:
+        for name, weights in counts.items():
+            out[:, _AT[name]] = np.add.reduceat(weights.astype(np.int64), line_at)
+
+    add(r.plain())
+    before, after = np.append(BREAK, what[:-1]), np.append(what[1:], BREAK)
     before[opens] = BREAK
     after[:-1][opens[1:]] = BREAK
-    before[before == -1], after[after == -1] = BREAK, BREAK
-    gap_before, gap_after = (before == BLANK) | (before == TAB) | (before == BREAK), (after == BLANK) | (after == TAB) | (after == BREAK)
-    tight = ~(space | ~solid)
-    # Tokens: stretches without space.
-    begins_token = tight & (gap_before | opens)
+    space, solid = (what == BLANK) | (what == TAB), what != BREAK
+    tight = ~space & solid
+    begins_token = tight & ((before == BLANK) | (before == TAB) | (before == BREAK))
     token_at = np.flatnonzero(begins_token)
-    add("tokens", begins_token.astype(np.int64))
     if len(token_at):
         size = np.add.reduceat(length * tight, token_at)
         kinds = np.add.reduceat((tight & ((what == LETTER) | (what == DIGIT))).astype(np.int64), token_at)
-        wide, narrow, mixed = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
-        wide[token_at] = np.where(size >= 30, size, 0)
-        narrow[token_at] = (size <= 2).astype(np.int64)
-        mixed[token_at] = np.where((kinds >= 4) & (size >= 12), size, 0)
-        add("long_chars", wide)
-        add("short_tokens", narrow)
-        add("mixed", mixed)
-    ordinal = np.arange(len(run)) - line_at[line]
-    quiet_after = (after == QUIET) | (after == ODD)
-    stop = (what == STOP) & (gap_after | quiet_after) & (before != ODD) & ~((ordinal == 1) & (((before == LETTER) & (np.append(0, length[:-1]) <= 1)) | (before == DIGIT)))
-    add("stops", stop.astype(np.int64))
-    comma = what == COMMA
-    add("loose_commas", (comma & gap_after & ~gap_before).astype(np.int64))
-    add("tight_commas", (comma & ~gap_after).astype(np.int64))
-    add("tabs", length * (what == TAB))
-    add("pipes", length * (what == PIPE))
-    add("wide_gaps", ((what == BLANK) & (length >= 3) & ~opens & (after != BREAK)).astype(np.int64))
-    add("colons", ((what == COLON) & gap_after & (ordinal <= 3) & ((before == LETTER) | (before == DIGIT))).astype(np.int64))
-    add("keys", ((what == COLON) & (before == QUIET)).astype(np.int64))
-    word_length = np.where(word, length, 0)
-    add("word_letters", word_length)
-    # How a line begins: a list mark is a sign, a number or a letter with a sign, then a blank.
-    k = line_at
-    last = len(run) - 1
+        for name, values in token_counts(size, kinds).items():
+            spread = np.zeros(len(run), np.int64)
+            spread[token_at] = values
+            add({name: spread})
+    add(run_counts(what, length, before, after, np.arange(len(run)) - line_at[line], np.append(0, length[:-1])))
+    # How a line begins.
+    k, last = line_at, len(run) - 1
     one, two = np.minimum(k + 1, last), np.minimum(k + 2, last)
     same1, same2 = line[one] == np.arange(lines), line[two] == np.arange(lines)
-    sign = (what[k] == QUIET) & (length[k] == 1) & np.isin(cp[run[k]], [ord(c) for c in "-*•–·"]) & same1 & (what[one] == BLANK) & (one != k)
-    numbered = ((what[k] == DIGIT) & (length[k] <= 4) | (what[k] == LETTER) & (length[k] <= 2)) & same1 & (one != k) & (((what[one] == STOP) & (cp[run[one]] == 0x2E)) | (cp[run[one]] == 0x29)) & (length[one] == 1) & same2 & (what[two] == BLANK) & (two != one)
+    sign = (what[k] == QUIET) & (length[k] == 1) & np.isin(r.sign[k], [ord(c) for c in _LIST_SIGNS]) & same1 & (what[one] == BLANK) & (one != k)
+    numbered = ((what[k] == DIGIT) & (length[k] <= 4) | (what[k] == LETTER) & (length[k] <= 2)) & same1 & (one != k) & (((what[one] == STOP) & (r.sign[one] == 0x2E)) | (r.sign[one] == 0x29)) & (length[one] == 1) & same2 & (what[two] == BLANK) & (two != one)
     out[:, _AT["mark"]] = sign | numbered
     # How a line ends: the last run that is no space, quote or tag.
     plain = (solid & ~space & (what != QUIET)).astype(np.int64) * np.arange(1, len(run) + 1)
@@ -161,7 +193,7 @@ def stretch_counts(data: np.ndarray, begins: np.ndarray, common: pa.Array) -> tu
     out[:, _AT["ends_stop"]] = (final >= 0) & ((what[final] == STOP) | (what[final] == COLON))
     ends = np.append(line_at[1:], len(run)) - 1
     out[:, _AT["head"]], out[:, _AT["tail"]] = what[line_at], what[ends]
-    return out, np.searchsorted(first, run[line_at], "right") - 1
+    return out, np.searchsorted(r.first, run[line_at], "right") - 1
 
 
 FORMS = ("prose", "list", "table", "junk")
@@ -221,48 +253,177 @@ def totals_of(m: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def joined_line(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The counts of a line from the counts of its two pieces, corrected for what the cut split."""
-    if not left[_AT["chars"]]:
-        return right.copy()
-    if not right[_AT["chars"]]:
-        return left.copy()
-    out = left + right
-    end, begin = int(left[_AT["tail"]]), int(right[_AT["head"]])
-    if end == begin == LETTER:
-        out[_AT["words"]] -= 1
-    tight = lambda k: k not in (BLANK, TAB, BREAK)
-    if tight(end) and tight(begin):
-        out[_AT["tokens"]] -= 1
-        if end == STOP:
-            out[_AT["stops"]] -= left[_AT["ends_stop"]] and begin in (LETTER, DIGIT)
-    out[_AT["mark"]], out[_AT["head"]] = left[_AT["mark"]], left[_AT["head"]]
-    solid = right[_AT["chars"]] > right[_AT["blanks"]]
-    out[_AT["ends_stop"]] = right[_AT["ends_stop"]] if solid else left[_AT["ends_stop"]]
-    out[_AT["tail"]] = right[_AT["tail"]]
+#: Runs kept at the begin of an open piece (all but the last of them still to be counted) and at its end (all but the first).
+FRONT, BACK = 5, 3
+
+
+def open_piece(data: np.ndarray, common: pa.Array, longest: int) -> dict | None:
+    """The state of a stretch of one line that may go on at both ends; None for an empty one.
+
+    n: runs; front and back: the first and last of them as [kind, length, sign]
+    (all in front if there are FRONT + BACK at most); plain, context: counts of
+    what is settled; whole: whether there is no space; head and tail: size and
+    kinds of the tokens at the ends (only head if whole); inner: counts of the
+    tokens between; final: the last kind that is no space or quote, or -1;
+    first and last word: its text if the piece begins or ends with a word no
+    longer than the longest frequent one, "" for a longer one.
+    """
+    if not len(data):
+        return None
+    r = _Runs(data, np.zeros(1, np.int64), common)
+    what, length, n = r.what, r.length, len(r.run)
+    rows = [[int(k), int(w), int(c)] for k, w, c in zip(what[:FRONT], length[:FRONT], r.sign[:FRONT])] if n > FRONT + BACK else [[int(k), int(w), int(c)] for k, w, c in zip(what, length, r.sign)]
+    back = [[int(what[i]), int(length[i]), int(r.sign[i])] for i in range(n - BACK, n)] if n > FRONT + BACK else []
+    context = dict.fromkeys(CONTEXT, 0)
+    if n > FRONT + BACK:
+        inner = slice(FRONT - 1, n - BACK + 1)
+        i = np.arange(n)[inner]
+        context = {c: int(v.sum()) for c, v in run_counts(what[inner], length[inner], what[i - 1], what[i + 1], i, length[i - 1]).items()}
+    tight = ~((what == BLANK) | (what == TAB) | (what == BREAK))
+    named = (tight & ((what == LETTER) | (what == DIGIT))).astype(np.int64)
+    gaps = np.flatnonzero(~tight)
+    of = lambda a, b: [int(length[a:b].sum()), int(named[a:b].sum())]
+    inner_tokens = dict.fromkeys(OF_TOKENS, 0)
+    if len(gaps):
+        at = np.flatnonzero(tight & np.append(False, ~tight[:-1]))
+        at = at[(at > gaps[0]) & (at < gaps[-1])]
+        if len(at):
+            size, kinds = np.add.reduceat(length * tight, at), np.add.reduceat(named, at)
+            # The last stretch reaches to the end of the piece; what is behind the last gap is the tail.
+            size[-1] -= of(gaps[-1] + 1, n)[0]
+            kinds[-1] -= of(gaps[-1] + 1, n)[1]
+            inner_tokens = {c: int(v.sum()) for c, v in token_counts(size, kinds).items()}
+    plain_kinds = what[tight & (what != QUIET)]
+
+    def word(i: int) -> str | None:
+        if what[i] != LETTER:
+            return None
+        return bytes(data[r.bounds[i] : r.bounds[i + 1]]).decode() if length[i] <= longest else ""
+
+    return {
+        "n": n, "front": rows, "back": back, "plain": {c: int(v.sum()) for c, v in r.plain().items()}, "context": context,
+        "whole": not len(gaps), "head": of(0, gaps[0]) if len(gaps) else of(0, n), "tail": of(gaps[-1] + 1, n) if len(gaps) else [0, 0], "inner": inner_tokens,
+        "final": int(plain_kinds[-1]) if len(plain_kinds) else -1, "first_word": word(0), "last_word": word(n - 1),
+    }
+
+
+def _settle(context: dict, runs: list, i: int, ordinal: int) -> None:
+    """Add the counts of run i, whose neighbours stand in ``runs`` (the end of the line where there are none)."""
+    before, after = runs[i - 1] if i else [BREAK, 0, 0], runs[i + 1] if i + 1 < len(runs) else [BREAK, 0, 0]
+    one = [np.array([v]) for v in (runs[i][0], runs[i][1], before[0], after[0], ordinal, before[1])]
+    for name, value in run_counts(*one).items():
+        context[name] += int(value[0])
+
+
+def _added(a: dict, b: dict) -> dict:
+    return {k: a[k] + b[k] for k in a}
+
+
+def _with_token(counts: dict, token: list[int]) -> dict:
+    return _added(counts, {k: int(v[0]) for k, v in token_counts(np.array(token[:1]), np.array(token[1:])).items()}) if token[0] else counts
+
+
+def joined(left: dict | None, right: dict | None, common: set[str], longest: int) -> dict | None:
+    """One open piece of two neighbouring ones."""
+    if left is None or right is None:
+        return left or right
+    short_left, short_right = not left["back"], not right["back"]
+    ends, begins = left["front"] if short_left else left["back"], right["front"]
+    same = ends[-1][0] == begins[0][0] and begins[0][0] != BREAK
+    seam = [*ends[:-1], [ends[-1][0], ends[-1][1] + begins[0][1], ends[-1][2]], *begins[1:]] if same else [*ends, *begins]
+    n = left["n"] + right["n"] - same
+    context, plain = _added(left["context"], right["context"]), _added(left["plain"], right["plain"])
+    split_word = same and begins[0][0] == LETTER
+    words = [left["first_word"], right["last_word"]]
+    if split_word:
+        plain["words"] -= 1
+        halves = left["last_word"], right["first_word"]
+        text = "".join(halves) if all(halves) and sum(map(len, halves)) <= longest else ""
+        plain["common"] += (text in common) - sum(w in common for w in halves)
+        words = [text if left["n"] == 1 else words[0], text if right["n"] == 1 else words[1]]
+    # What has both neighbours now and may no more be among the first or last runs is settled.
+    small = short_left and short_right and n <= FRONT + BACK
+    if not small:
+        low = FRONT - 1 if short_left else 1
+        high = len(seam) - BACK + 1 if short_right else len(seam) - 1
+        for i in range(low, high):
+            _settle(context, seam, i, i if short_left else FRONT)
+    front = seam if small else seam[:FRONT] if short_left else left["front"]
+    back = [] if small else seam[-BACK:] if short_right else right["back"]
+    # The token at the cut.
+    doubled = same and begins[0][0] in (LETTER, DIGIT)
+    a, b = left["head"] if left["whole"] else left["tail"], right["head"]
+    token = [a[0] + b[0], a[1] + b[1] - doubled]
+    inner = _added(left["inner"], right["inner"])
+    whole = left["whole"] and right["whole"]
+    head, tail = (token if left["whole"] else left["head"]), ([0, 0] if whole else token if right["whole"] else right["tail"])
+    if not left["whole"] and not right["whole"]:
+        inner = _with_token(inner, token)
+    return {
+        "n": n, "front": front, "back": back, "plain": plain, "context": context, "whole": whole, "head": head, "tail": tail, "inner": inner,
+        "final": right["final"] if right["final"] >= 0 else left["final"], "first_word": words[0], "last_word": words[1],
+    }
+
+
+def line_counts(piece: dict | None) -> np.ndarray:
+    """The counts of a piece that is a whole line."""
+    out = np.zeros(WIDTH)
+    if piece is None:
+        return out
+    context, front, back = dict(piece["context"]), piece["front"], piece["back"]
+    for i in range(FRONT - 1 if back else len(front)):
+        _settle(context, front, i, i)
+    for i in range(1, len(back)):
+        _settle(context, back, i, FRONT)
+    tokens = _with_token(_with_token(piece["inner"], piece["head"]), piece["tail"])
+    for name, value in (piece["plain"] | context | tokens).items():
+        out[_AT[name]] = value
+    out[_AT["mark"]] = _is_mark(*map(list, zip(*front)))
+    out[_AT["ends_stop"]] = piece["final"] in (STOP, COLON)
+    out[_AT["head"]], out[_AT["tail"]] = front[0][0], (back or front)[-1][0]
     return out
 
 
-def merged(states: list[tuple]) -> tuple:
-    """One state of neighbouring chunks.  A state: (closed, head, tail, totals); an open one has only a head."""
+def _judged_line(piece: dict | None) -> np.ndarray:
+    return totals_of(line_counts(piece)[None], np.zeros(1, np.int64), 1)[0]
+
+
+def chunk_state(data: np.ndarray, common: pa.Array, longest: int) -> tuple:
+    """(closed, head, tail, totals) of a chunk: what is open before its first and after its last line break,
+    and the totals of the lines between; without a break only a head."""
+    cp, at = code_points(data)
+    breaks = np.flatnonzero(_classes()[cp] == BREAK)
+    if not len(breaks):
+        return False, open_piece(data, common, longest), None, np.zeros(len(TOTALS))
+    edge = np.append(at, len(data))
+    first, last = edge[breaks[0] + 1], edge[breaks[-1] + 1]
+    totals = np.zeros(len(TOTALS))
+    if last > first:
+        m, _ = stretch_counts(data[first:last], np.zeros(1, np.int64), common)
+        totals = totals_of(m, np.zeros(len(m), np.int64), 1)[0]
+    return True, open_piece(data[:first], common, longest), open_piece(data[last:], common, longest), totals
+
+
+def merged(states: list[tuple], common: set[str], longest: int) -> tuple:
+    """One state of neighbouring chunks."""
     closed, head, tail, totals = states[0]
     totals = totals.copy()
     for next_closed, next_head, next_tail, next_totals in states[1:]:
         totals += next_totals
         if not closed:
-            head = joined_line(head, next_head)
-            closed, tail = next_closed, next_tail
+            head, closed, tail = joined(head, next_head, common, longest), next_closed, next_tail
+        elif next_closed:
+            totals += _judged_line(joined(tail, next_head, common, longest))
+            tail = next_tail
         else:
-            whole = joined_line(tail, next_head)
-            if next_closed:
-                totals += totals_of(whole[None], np.zeros(1, np.int64), 1)[0]
-                tail = next_tail
-            else:
-                tail = whole
+            tail = joined(tail, next_head, common, longest)
     return closed, head, tail, totals
 
 
-_CHUNK_SCHEMA = "chunk bigint, closed boolean, head array<double>, tail array<double>, totals array<double>"
+def whole_totals(state: tuple) -> np.ndarray:
+    """The totals of a document from its only state."""
+    closed, head, tail, totals = state
+    return totals + _judged_line(head) + (_judged_line(tail) if closed else 0)
 
 
 # Literal markup that is no text, and the boxes of a check list.
@@ -293,102 +454,93 @@ def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, pa.Arra
             yield int(a), texts.slice(a, b - a)
 
 
-def _lines(texts: pa.Array, common: pa.Array, clean: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, owner) of the lines of a stretch of texts; empty texts have none."""
-    texts = pc.fill_null(texts, "")
-    data, offsets = _buffer(_cleaned(texts) if clean else texts)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if not len(full):
-        return np.zeros((0, WIDTH)), np.zeros(0, np.int64)
-    m, owner = stretch_counts(data, offsets[:-1][full], common)
-    return m, full[owner]
+def _cuts(data: np.ndarray, chunk: int) -> list[int]:
+    """Edges of chunks of about ``chunk`` bytes, none within a code point."""
+    edges = [0]
+    while edges[-1] + chunk < len(data):
+        edge = edges[-1] + chunk
+        while edge < len(data) and data[edge] & 0xC0 == 0x80:
+            edge += 1
+        edges.append(edge)
+    return [*edges, len(data)] if edges[-1] < len(data) else edges
 
 
-def _document_totals(common: pa.Array, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in _slices(batch.column(1)):
-                m, owner = _lines(texts, common)
-                totals = totals_of(m, owner, len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *[pa.array(totals[:, k]) for k in range(len(TOTALS))]], names=[key, *TOTALS])
+def _trimmed(texts: pa.Array) -> pa.Array:
+    """Code points of each text without white space at its ends."""
+    return pc.fill_null(pc.utf8_length(pc.utf8_trim_whitespace(texts)), 0)
 
-    return run
 
+def _document_parts(common: pa.Array, key: str, chunk: int, names: list[str]):
+    """One row of totals for a text of one chunk, and one open state for each FAN_IN chunks of a longer one."""
+    words, longest = set(common.to_pylist()), max(map(len, common.to_pylist()), default=0)
 
-def _chunk_states(common: pa.Array, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                m, owner = _lines(batch.column(2).slice(i, 1), common, clean=False)
-                ends_broken = bool(len(m)) and m[-1, _AT["tail"]] == BREAK
-                lines = list(m) + ([np.zeros(WIDTH)] if ends_broken or not len(m) else [])
-                closed = len(lines) > 1
-                middle = np.array(lines[1:-1]).reshape(-1, WIDTH)
-                totals = totals_of(middle, np.zeros(len(middle), np.int64), 1)[0]
-                yield _state_batch(batch.column(0).slice(i, 1), batch.column(1)[i].as_py(), (closed, lines[0], lines[-1] if closed else np.zeros(WIDTH), totals), key)
+            for at, texts in _slices(batch.column(2)):
+                texts = pc.fill_null(texts, "")
+                data, offsets = _buffer(_cleaned(texts))
+                size, n = np.diff(offsets), len(texts)
+                short = (size > 0) & (size <= chunk)
+                trimmed = _trimmed(texts).to_numpy(zero_copy_only=False)
+                totals = np.zeros((n, len(TOTALS)))
+                if short.any():
+                    kept = np.repeat(short, size)
+                    own = np.flatnonzero(short)
+                    m, owner = stretch_counts(data[kept], np.append(0, np.cumsum(size[own]))[:-1], common)
+                    totals[own] = totals_of(m, owner, len(own))
+                rows = [(i, 0, 1, None, totals[i]) for i in np.flatnonzero(size <= chunk)]
+                for i in np.flatnonzero(size > chunk):
+                    body = data[offsets[i] : offsets[i + 1]]
+                    edges = _cuts(body, chunk)
+                    states = [chunk_state(body[a:b], common, longest) for a, b in zip(edges[:-1], edges[1:])]
+                    groups = [merged(states[k : k + FAN_IN], words, longest) for k in range(0, len(states), FAN_IN)]
+                    if len(groups) == 1:
+                        rows.append((i, 0, 1, None, whole_totals(groups[0])))
+                    else:
+                        rows += [(i, k, len(groups), json.dumps(g[:3]), g[3]) for k, g in enumerate(groups)]
+                take = np.array([r[0] for r in rows])
+                m = np.array([r[4] for r in rows])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, n).take(pa.array(take)), batch.column(1).slice(at, n).take(pa.array(take)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(trimmed[take].astype(np.int64)), pa.array([r[3] for r in rows], pa.string()), *[pa.array(m[:, k]) for k in range(len(TOTALS))]],
+                    names=names,
+                )
 
     return run
 
 
-def _state_batch(name: pa.Array, chunk: int, state: tuple, key: str) -> pa.RecordBatch:
-    closed, head, tail, totals = state
-    return pa.RecordBatch.from_arrays([name, pa.array([chunk], pa.int64()), pa.array([closed]), *[pa.array([list(map(float, v))], pa.list_(pa.float64())) for v in (head, tail, totals)]], names=[key, "chunk", "closed", "head", "tail", "totals"])
-
-
-def _merged_states(key: str):
-    """Fold the states of one array column ``states`` per row, in the order of the chunks."""
+def _joined_parts(common: pa.Array, names: list[str]):
+    """The totals of each document from the states of its parts, in their order."""
+    words, longest = set(common.to_pylist()), max(map(len, common.to_pylist()), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                states = [(s["closed"], np.array(s["head"]), np.array(s["tail"]), np.array(s["totals"])) for s in batch.column(2)[i].as_py()]
-                yield _state_batch(batch.column(0).slice(i, 1), batch.column(1)[i].as_py(), merged(states), key)
-
-    return run
-
-
-def _closed_totals(key: str):
-    """Judge what is still open at both ends of a whole document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for s in batch.to_pylist():
-                ends = np.array([s["head"], s["tail"]] if s["closed"] else [s["head"]])
-                rows.append(np.array(s["totals"]) + totals_of(ends, np.zeros(len(ends), np.int64), 1)[0])
-            m = np.array(rows).reshape(-1, len(TOTALS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m[:, k]) for k in range(len(TOTALS))]], names=[key, *TOTALS])
+            out = []
+            for parts in batch.column(2).to_pylist():
+                states = [(*json.loads(p["state"]), np.array(p["totals"])) for p in parts]
+                out.append(whole_totals(merged(states, words, longest)))
+            m = np.array(out).reshape(-1, len(TOTALS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(m[:, k]) for k in range(len(TOTALS))]], names=names)
 
     return run
 
 
 def text_totals(documents: DataFrame, common_words: list[str], key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(key, TOTALS...) of every document; all zero for a null or empty text."""
+    """(key, trimmed, TOTALS...) of every document; all zero for a null or empty text.
+
+    Every text is read once, whatever its length; ``trimmed`` counts its code
+    points without white space at the ends.
+    """
     common = pa.array(sorted({w.lower() for w in common_words if w}), pa.string())
     kind = dict(documents.dtypes)[key]
-    docs = documents.select(key, text)
-    totals_schema = f"{key} {kind}, " + ", ".join(f"{t} double" for t in TOTALS)
-    long_ = F.coalesce(F.length(text) > chunk, F.lit(False))
-    short = docs.where(~long_).mapInArrow(_document_totals(common, key), totals_schema)
-    parts = docs.where(long_).withColumn("_row", F.monotonically_increasing_id())
-    # Markup goes before the cut, so no tag is split by it.
-    parts = parts.withColumn(text, F.lower(F.regexp_replace(F.regexp_replace(text, _MARKUP, " "), _BOX, "$1- ")))
-    body, size = F.col(text), F.length(text)
-
-    def cut(edge: Column) -> Column:
-        # The first white space from a nominal edge on, so that only a token longer than SEEK is split.
-        moved = edge + F.greatest(F.regexp_instr(F.substring(body, edge, F.lit(SEEK)), F.lit(r"\s")) - 1, F.lit(0))
-        return F.when(edge <= 1, 1).when(edge > size, size + 1).otherwise(moved)
-
-    piece = lambda edge: F.substring(body, cut(edge), cut(edge + chunk) - cut(edge))
-    parts = parts.select(F.struct(key, "_row").alias("_k"), F.posexplode(F.transform(F.sequence(F.lit(1), size, F.lit(chunk)), piece)).alias("chunk", "part"))
-    schema = f"_k struct<{key}: {kind}, _row: bigint>, " + _CHUNK_SCHEMA
-    states = parts.select("_k", F.col("chunk").cast("bigint").alias("chunk"), "part").mapInArrow(_chunk_states(common, "_k"), schema)
-    for fan in (FAN_IN, 1 << 40):
-        gathered = states.groupBy("_k", F.floor(F.col("chunk") / fan).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("chunk", "closed", "head", "tail", "totals"))).alias("states"))
-        states = gathered.mapInArrow(_merged_states("_k"), schema)
-    whole = states.mapInArrow(_closed_totals("_k"), f"_k struct<{key}: {kind}, _row: bigint>, " + ", ".join(f"{t} double" for t in TOTALS))
-    return short.unionByName(whole.select(F.col(f"_k.{key}").alias(key), *TOTALS))
+    totals = ", ".join(f"{t} double" for t in TOTALS)
+    docs = documents.select(key, F.monotonically_increasing_id().alias("_row"), text)
+    first = [key, "_row", "_part", "_parts", "trimmed", "_state", *TOTALS]
+    parts = durable(docs.mapInArrow(_document_parts(common, key, chunk, first), f"{key} {kind}, _row bigint, _part bigint, _parts bigint, trimmed bigint, _state string, {totals}"))
+    whole = parts.where("_parts = 1").select(key, "trimmed", *TOTALS)
+    state = F.struct(F.col("_part").alias("part"), F.col("_state").alias("state"), F.array(*TOTALS).alias("totals"))
+    gathered = parts.where("_parts > 1").groupBy("_row").agg(F.first(key).alias(key), F.first("trimmed").alias("trimmed"), F.array_sort(F.collect_list(state)).alias("parts"))
+    joined_ = gathered.select(key, "trimmed", "parts").mapInArrow(_joined_parts(common, [key, "trimmed", *TOTALS]), f"{key} {kind}, trimmed bigint, {totals}")
+    return whole.unionByName(joined_)
 
 
 def _over(a: str, b: Column) -> Column:
@@ -413,12 +565,11 @@ def quality_statistics(totals: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def found_forms(documents: DataFrame, totals: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def found_forms(totals: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, form) of the documents whose characters mostly are not natural prose."""
     judged_chars = sum((F.col(f"{f}_chars") for f in FORMS[1:]), F.lit(0.0))
     best = F.greatest(*[F.col(f"{f}_chars") for f in FORMS[1:]])
     form = F.lit(None).cast("string")
     for f in FORMS[1:]:
         form = F.when(F.col(f"{f}_chars") == best, f).otherwise(form)
-    cases = documents.where(F.length(F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))) >= LEAST_LENGTH).select(key)
-    return totals.where(judged_chars > F.col("prose_chars")).select(key, form.alias("form")).join(cases, key, "left_semi")
+    return totals.where((F.col("trimmed") >= LEAST_LENGTH) & (judged_chars > F.col("prose_chars"))).select(key, form.alias("form"))

@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terraweave.llm import textstats as X
@@ -33,7 +39,7 @@ def docs(spark):
 
 
 def test_forms(docs):
-    got = {r.doc_id: r.form for r in X.found_forms(docs, X.text_totals(docs, COMMON)).collect()}
+    got = {r.doc_id: r.form for r in X.found_forms(X.text_totals(docs, COMMON)).collect()}
     assert got == FORMS
 
 
@@ -62,3 +68,31 @@ def test_chunks_equal_the_whole(docs, monkeypatch):
 def test_empty_table(docs):
     none = docs.limit(0)
     assert X.quality_statistics(X.text_totals(none, COMMON)).count() == 0
+
+
+SIGNS = st.sampled_from([*"ab", "the", " ", "   ", "\t", "\n", ".", ",", "|", ":", '"', "-", "*", "7", "12", "~", "□", "க", "1. ", ")", "\r\n", "é"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(SIGNS, max_size=60).map("".join), st.integers(1, 9), st.integers(1, 4))
+def test_any_cut_gives_the_counts_of_the_whole(text, chunk, fan):
+    common, words = pa.array(COMMON), set(COMMON)
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = np.zeros(len(X.TOTALS))
+    if len(data):
+        m, _ = X.stretch_counts(data, np.zeros(1, np.int64), common)
+        whole = X.totals_of(m, np.zeros(len(m), np.int64), 1)[0]
+    edges = X._cuts(data, chunk)
+    states = [X.chunk_state(data[a:b], common, 4) for a, b in zip(edges[:-1], edges[1:])] or [X.chunk_state(data, common, 4)]
+    groups = [X.merged(states[k : k + fan], words, 4) for k in range(0, len(states), fan)]
+    groups = [(*json.loads(json.dumps(g[:3])), g[3]) for g in groups]
+    assert dict(zip(X.TOTALS, X.whole_totals(X.merged(groups, words, 4)))) == dict(zip(X.TOTALS, whole))
+
+
+def test_one_long_line(spark, monkeypatch):
+    monkeypatch.setattr(X, "FAN_IN", 3)
+    lines = ["key: the value, of 12.   and~it's " * 6_000, "x" * 200_000, "a,b,,c;d|e\t" * 18_000, " " * 100_000 + "end of it.", "- the " + "word " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(lines)) + [(0, lines[0])], "doc_id bigint, text string")
+    whole = sorted(map(tuple, X.text_totals(docs, COMMON, chunk=1 << 22).collect()))
+    assert whole == sorted(map(tuple, X.text_totals(docs, COMMON).collect())) and len(whole) == 6
+    assert [r[1] for r in whole] == [len(t.strip()) for t in [lines[0], *lines]]
