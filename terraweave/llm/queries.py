@@ -39,6 +39,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_representatives(claims, "entity_id", LON, LAT)
 
 
+def p4_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claim that supplies each field of every entity when all its claims weigh the same."""
+    claims = table(spark, sf_dir, "source_claim").where("property_path = 'geometry'")
+    return best_representatives(claims, "entity_id", LON, LAT, precedence=1.0)
+
+
+def p4_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accuracy and the confidence that most claims of an entity state."""
+    return p4_majority(spark, sf_dir).where(F.col("field_name").isin("accuracy_m", "extraction_confidence"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every feature that claims tie to an entity."""
     claims = table(spark, sf_dir, "source_claim").where("entity_id is not null and dataset_id is not null and source_feature_id is not null")
@@ -77,10 +88,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_forms(_text_totals(spark, sf_dir))
 
 
-QUERIES = {"p8_packed": p8_packed, "p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p8_packed": p8_packed, "p1_matches": p1_matches, "p1_found": p1_found, "p9_stats": p9_stats, "p9_found": p9_found, "p4_found": p4_found, "p4_majority": p4_majority, "p4_votes": p4_votes, "p5_found": p5_found, "p7_ids": p7_ids}
 
-ORACLES: dict[str, str] = {
-    "p4_found": """
+_RANKED = """
 WITH once AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS rn FROM source_claim WHERE property_path = 'geometry') WHERE rn = 1 AND entity_id IS NOT NULL
 ), members AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS n FROM once QUALIFY n > 1
@@ -100,11 +110,17 @@ WITH once AS (
     CASE WHEN observed_on >= DATE '1980-01-01' AND observed_on <= created_at::DATE THEN observed_on END AS day,
     CASE WHEN isnan(extraction_confidence) THEN NULL WHEN extraction_confidence BETWEEN 0 AND 1 THEN extraction_confidence WHEN extraction_confidence BETWEEN 1 AND 100 THEN round(extraction_confidence / 100, 9) END AS conf
   FROM members AS m LEFT JOIN fine AS f ON m.id = f.id LEFT JOIN crossing AS c ON m.id = c.id
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY acc NULLS LAST, day DESC NULLS LAST, conf DESC NULLS LAST, id) AS rk FROM usable)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY acc NULLS LAST, day DESC NULLS LAST, conf DESC NULLS LAST, id) AS rk FROM usable)"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": _RANKED + """
 SELECT entity_id, 'value_geom' AS field_name, arg_min(id, rk) AS claim_id FROM ranked WHERE geom GROUP BY 1
 UNION ALL SELECT entity_id, 'accuracy_m', arg_min(id, rk) FROM ranked WHERE acc IS NOT NULL GROUP BY 1
 UNION ALL SELECT entity_id, 'observed_on', arg_min(id, rk) FROM ranked WHERE day IS NOT NULL GROUP BY 1
 UNION ALL SELECT entity_id, 'extraction_confidence', arg_min(id, rk) FROM ranked WHERE conf IS NOT NULL GROUP BY 1""",
+    "p4_votes": _RANKED + """, v AS (SELECT entity_id, 'accuracy_m' AS field_name, acc AS v, rk, id FROM ranked WHERE acc IS NOT NULL UNION ALL SELECT entity_id, 'extraction_confidence', conf, rk, id FROM ranked WHERE conf IS NOT NULL
+), c AS (SELECT entity_id, field_name, v, count(*) AS n, min(rk) AS rk, arg_min(id, rk) AS id FROM v GROUP BY 1, 2, 3)
+SELECT entity_id, field_name, arg_min(id, struct_pack(m := -n, rk := rk)) AS claim_id FROM c GROUP BY 1, 2""",
     "p5_found": """
 WITH RECURSIVE m AS (
   SELECT DISTINCT dataset_id, source_feature_id, dataset_id || '::' || source_feature_id AS f, entity_id AS e FROM source_claim WHERE entity_id IS NOT NULL AND dataset_id IS NOT NULL AND source_feature_id IS NOT NULL
