@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraweave.functions.identifiers import parcel_code
+from terraweave.session import durable
+
 
 def paged(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """One page in a total order, with the number of all rows that match."""
@@ -56,6 +59,29 @@ def minted(rows: DataFrame, base: Column, order: str) -> DataFrame:
     return rows.withColumn("_base", base).withColumn("nonce", nth).withColumn("minted", F.concat_ws("-", "_base", F.col("nonce").cast("string"))).drop("_base")
 
 
+def minted_codes(rows: DataFrame, order: str = "fid") -> DataFrame:
+    """``rows`` with nonce and code: parcel codes that are unique.
+
+    ``rows``: state, body, key and cell, and ``order``, unique.  The n-th row
+    of one key and cell gets the nonce n, from 0.  Where codes of different
+    cells are equal all the same (one in a billion pairs), all but the first
+    go on to nonces that their cell does not use, until no code is left twice.
+    """
+    cell = ["state", "body", "key", "cell"]
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(order)) - 1
+    coded = lambda df: durable(df.withColumn("code", parcel_code(*[F.col(c) for c in cell], F.col("nonce"))))
+    out = coded(rows.withColumn("nonce", nth))
+    while True:
+        twice = out.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("nonce", order)).alias("_first")).where("_n > 1").select("code", F.col("_first")[order].alias("_keeps"))
+        twice = durable(twice)
+        if twice.isEmpty():
+            return out
+        used = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_used"))
+        marked = out.join(twice, "code", "left").join(used, cell)
+        moved = F.col("_keeps").isNotNull() & (F.col("_keeps") != F.col(order))
+        out = coded(marked.withColumn("nonce", F.when(moved, F.col("nonce") + F.col("_used")).otherwise(F.col("nonce"))).select(*rows.columns, "nonce"))
+
+
 def timeline(parts: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
     """One history of several tables: (entity, at, kind, what), by name of part -> (table, entity, time, text)."""
     out = None

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, feeds, ground, joins, linkage, measures, problems, scalars, serving
+from terraweave.queries import evidence, feeds, ground, identity, joins, linkage, measures, problems, scalars, serving
 
-MODULES = [problems, ground, joins, evidence, linkage, measures, scalars, feeds, serving]
+MODULES = [problems, ground, identity, joins, evidence, linkage, measures, scalars, feeds, serving]
 
 FLAGSHIP = problems.p3_found
 

@@ -29,21 +29,6 @@ def f2_siblings(spark, sf_dir):
     return n.groupBy(I.parent_number(F.col("number")).alias("parent")).agg(F.countDistinct("number").alias("subdivisions"), F.count(F.lit(1)).alias("n"))
 
 
-def f4_scripts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(I.script(F.col("text")).alias("script"))
-    return d.groupBy("script").agg(F.count(F.lit(1)).alias("n"))
-
-
-def f11_check_characters(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("body"))
-    return p.select("p_partkey", F.concat("body", I.check_character(F.col("body"))).alias("code"))
-
-
-def f12_geohash(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_LON} AS lon", f"{_LAT} AS lat")
-    return p.select("p_partkey", F.substring(I.geohash(F.col("lon"), F.col("lat"), 8), 1, 8).alias("hash")).groupBy(F.substring("hash", 1, 3).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def f14_fingerprints(spark, sf_dir):
     n = table(spark, sf_dir, "customer")
     return n.select("c_custkey", I.fingerprint(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("fingerprint"))
@@ -121,7 +106,7 @@ def w1_frames(spark, sf_dir):
 
 QUERIES = {
     "f8_name_similarity": f8_name_similarity, "a29_rollup": a29_rollup, "j11_within_distance": j11_within_distance, "w1_frames": w1_frames,
-    "f1_survey_numbers": f1_survey_numbers, "f2_siblings": f2_siblings, "f4_scripts": f4_scripts, "f11_check_characters": f11_check_characters, "f12_geohash": f12_geohash, "f14_fingerprints": f14_fingerprints,
+    "f1_survey_numbers": f1_survey_numbers, "f2_siblings": f2_siblings, "f14_fingerprints": f14_fingerprints,
     "f20_haversine": f20_haversine, "f26_ecef": f26_ecef, "g1_measures": g1_measures, "t1_rules": t1_rules, "l2_ledger": l2_ledger, "l3_merkle": l3_merkle,
 }
 
@@ -138,9 +123,6 @@ SELECT a.fid AS id_a, b.fid AS id_b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.
     "w1_frames": """SELECT o_orderkey, row_number() OVER w AS nth, lag(o_orderkey) OVER w AS before, ntile(4) OVER w AS quarter, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS mean_of_three FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "f1_survey_numbers": _NUMBERS + " SELECT p_partkey, number FROM n",
     "f2_siblings": _NUMBERS + " SELECT split_part(number, '/', 1) AS parent, count(DISTINCT number) AS subdivisions, count(*) AS n FROM n GROUP BY 1",
-    "f11_check_characters": """
-WITH b AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 8, '0') AS body FROM part)
-SELECT p_partkey, body || substr('0123456789ABCDEFGHJKLMNPQRSTUVWX', (list_sum(list_transform(range(1, 9), lambda k: (ascii(substr(body, k, 1)) - 48) * (2 * k - 1))) % 32)::INT + 1, 1) AS code FROM b""",
     "f14_fingerprints": "SELECT c_custkey, substr(sha256('=' || c_name || '|=' || c_mktsegment || '|=' || c_nationkey), 1, 16) AS fingerprint FROM customer",
     "f20_haversine": f"""WITH p AS (SELECT p_partkey, {_LON} AS lon, {_LAT} AS lat FROM part)
 SELECT p_partkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(13.08 - lat) / 2), 2) + cos({_PHI}) * cos(radians(13.08)) * pow(sin(radians(80.25 - lon) / 2), 2))), 3) AS metres FROM p""",
