@@ -95,19 +95,47 @@ def violations(ring: Column, micro: float = 1.0, thin: float = 0.18, small: floa
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
 
 
+def flat_parts(parts: Column) -> Column:
+    """The rings of several polygons in a row: outer rings counter-clockwise, holes clockwise, so that the parts stay apart."""
+    turned = lambda r, outer: F.when((signed_area(r) > 0) != outer, F.reverse(r)).otherwise(r)
+    return F.flatten(F.transform(parts, lambda p: F.transform(p, lambda r, k: turned(r, k == 0))))
+
+
+def parts_of(geom: Column) -> Column:
+    """The polygons of a MultiPolygon: a counter-clockwise ring begins a new one."""
+    zero = F.expr("cast(array() as array<array<array<struct<x:double,y:double>>>>)")
+    last = lambda s: F.get(s, F.size(s) - 1)
+    return F.aggregate(geom["rings"], zero, lambda s, r: F.when((signed_area(r) > 0) | (F.size(s) == 0), F.concat(s, F.array(F.array(r)))).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.concat(last(s), F.array(r))))))
+
+
+# The kinds of geometry by their names in capitals.
+KINDS = {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon", "MULTIPOINT": "MultiPoint", "MULTILINESTRING": "MultiLineString", "MULTIPOLYGON": "MultiPolygon"}
+
+
 def wkt(geom: Column) -> Column:
     """Well-known text of a GEOM; null for an unknown kind."""
     pair = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, pair), ", "), F.lit(")"))
-    body = F.array_join(F.transform(geom["rings"], ring), ", ")
-    kind = F.lower(geom["kind"])
-    return F.when(kind == "polygon", F.concat(F.lit("POLYGON ("), body, F.lit(")"))).when(kind == "point", F.concat(F.lit("POINT "), body)).when(kind == "linestring", F.concat(F.lit("LINESTRING "), body))
+    rings = lambda rs: F.concat(F.lit("("), F.array_join(F.transform(rs, ring), ", "), F.lit(")"))
+    kind = F.upper(geom["kind"])
+    plain = F.array_join(F.transform(geom["rings"], ring), ", ")
+    body = (
+        F.when(kind.isin("POINT", "LINESTRING"), plain)
+        .when(kind.isin("POLYGON", "MULTILINESTRING", "MULTIPOINT"), F.concat(F.lit("("), plain, F.lit(")")))
+        .when(kind == "MULTIPOLYGON", F.concat(F.lit("("), F.array_join(F.transform(parts_of(geom), rings), ", "), F.lit(")")))
+    )
+    return F.when(F.size(geom["rings"]) > 0, F.concat(kind, F.lit(" "), body))
 
 
 def from_wkt(text: Column) -> Column:
-    """GEOM of a POINT, LINESTRING or POLYGON text; null where it is none."""
-    kind = F.initcap(F.regexp_extract(text, r"(?i)^\s*(POINT|LINESTRING|POLYGON)\b", 1))
-    shown = F.when(kind == "Linestring", "LineString").otherwise(F.nullif(kind, F.lit("")))
-    parts = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    """GEOM of a (multi-) point, line or polygon text; all parts are kept, flattened as by ``flat_parts``; null where it is none."""
+    kind = F.upper(F.regexp_extract(text, r"(?i)^\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\b", 1))
+    shown = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), kind)
     point = lambda t: F.struct(F.split_part(F.trim(t), F.lit(" "), F.lit(1)).try_cast("double").alias("x"), F.get(F.split(F.trim(t), r"\s+"), F.lit(1)).try_cast("double").alias("y"))
-    return F.when(shown.isNotNull() & (F.size(parts) > 0), F.struct(shown.alias("kind"), F.transform(parts, lambda r: F.transform(F.split(r, ","), point)).alias("rings")))
+    rings = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda r: F.transform(F.split(r, ","), point))
+    several = F.split(text, r"\)\s*\)\s*,\s*\(\s*\(")
+    parts = F.transform(several, lambda p, k: rings(F.concat(F.when(k > 0, "((").otherwise(""), p, F.when(k < F.size(several) - 1, "))").otherwise(""))))
+    # A MULTIPOINT may leave out the brackets of its points.
+    loose = F.transform(F.flatten(rings(text)), lambda p: F.array(p))
+    found = F.when(kind == "MULTIPOLYGON", flat_parts(parts)).when(kind == "MULTIPOINT", loose).otherwise(rings(text))
+    return F.when(shown.isNotNull() & (F.size(found) > 0), F.struct(shown.alias("kind"), found.alias("rings")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraweave.operators.graph import components
 from terraweave.operators.grid import box_join, nearest_join, segment_distance
+from terraweave.operators.quantiles import exact_quantiles
 
 
 def helmert(points: DataFrame) -> DataFrame:
@@ -51,9 +52,9 @@ def affine(points: DataFrame) -> DataFrame:
 def blunders(points: DataFrame, limit: float = 3.0) -> DataFrame:
     """Points whose shift lies more than ``limit`` scaled deviations from the median shift."""
     d = points.select("gcp_id", (F.col("target_x") - F.col("source_x")).alias("dx"), (F.col("target_y") - F.col("source_y")).alias("dy"))
-    mid = d.agg(F.median("dx").alias("mx"), F.median("dy").alias("my"))
+    mid = exact_quantiles(d, mx=("dx", 0.5), my=("dy", 0.5))
     r = d.join(F.broadcast(mid)).withColumn("r", F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2)))
-    scale = r.agg((F.median("r") * 1.4826).alias("s"))
+    scale = exact_quantiles(r, m=("r", 0.5)).select((F.col("m") * 1.4826).alias("s"))
     return r.join(F.broadcast(scale)).where((F.col("s") > 0) & (F.col("r") > limit * F.col("s"))).select("gcp_id", "r")
 
 

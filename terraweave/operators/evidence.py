@@ -76,7 +76,7 @@ def resolved(evidence: DataFrame, keys: list[str], value: str = "value", weight:
     for a person to decide.
     """
     f = fused(evidence, keys, value, weight)
-    best = f.groupBy(*keys).agg(F.max_by(F.struct(value, "belief", "plausibility"), F.struct("belief", value)).alias("b"), F.count(F.lit(1)).alias("options"), F.sum("sources").alias("claims"))
+    best = f.groupBy(*keys).agg(F.min_by(F.struct(value, "belief", "plausibility"), F.struct(F.negative("belief"), value)).alias("b"), F.count(F.lit(1)).alias("options"), F.sum("sources").alias("claims"))
     single, unanimous = F.col("claims") == 1, F.col("options") == 1
     belief = F.when(unanimous & ~single, 1.0).otherwise(F.col("b.belief"))
     plausibility = F.when(unanimous, 1.0).otherwise(F.col("b.plausibility"))

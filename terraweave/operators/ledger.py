@@ -8,9 +8,15 @@ rounds, each one aggregation over pairs.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraweave.session import durable
+
 GENESIS = "0" * 64
 
 
@@ -21,19 +27,24 @@ def entry_hash(index: Column, payload: Column, previous: Column) -> Column:
 def chained(entries: DataFrame, last: str = GENESIS) -> DataFrame:
     """(index, payload, prev_hash, entry_hash) of a batch of new entries after the hash ``last``.
 
-    The batch is folded in one task, as each hash needs the one before; a
-    batch is what one run appends, not the ledger.
+    Each hash needs the one before, so the batch, which is what one run
+    appends and not the ledger, passes through one task in the order of its
+    index; the task keeps one hash and no rows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("index", "payload")))
-    zero = F.struct(F.lit(last).alias("h"), F.expr("cast(array() as array<struct<index:bigint,payload:string,prev_hash:string,entry_hash:string>>)").alias("rows"))
 
-    def step(s: Column, e: Column) -> Column:
-        h = entry_hash(e["index"], e["payload"], s["h"])
-        row = F.struct(e["index"].cast("bigint").alias("index"), e["payload"].alias("payload"), s["h"].alias("prev_hash"), h.alias("entry_hash"))
-        return F.struct(h.alias("h"), F.concat(s["rows"], F.array(row)).alias("rows"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous = last
+        for batch in batches:
+            before, own = [], []
+            for index, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                before.append(previous)
+                # Nulls are left out, as in entry_hash.
+                previous = hashlib.sha256("|".join(p for p in (None if index is None else str(index), payload, previous) if p is not None).encode()).hexdigest()
+                own.append(previous)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(own, pa.string())], names=["index", "payload", "prev_hash", "entry_hash"])
 
-    folded = entries.agg(F.aggregate(ordered, zero, step, lambda s: s["rows"]).alias("rows"))
-    return folded.select(F.explode("rows").alias("r")).select("r.*")
+    ordered = entries.select(F.col("index").cast("bigint").alias("index"), "payload").repartition(1).sortWithinPartitions("index", "payload")
+    return ordered.mapInArrow(run, "index bigint, payload string, prev_hash string, entry_hash string")
 
 
 def verified(chain: DataFrame, first: str = GENESIS) -> DataFrame:
@@ -58,7 +69,7 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     levels.append(level)
     while n > 1:
         pairs = level.groupBy(F.floor(F.col("index") / 2).alias("index")).agg(F.min_by("hash", "index").alias("a"), F.max_by("hash", "index").alias("b"))
-        level = pairs.select("index", F.sha2(F.concat("a", "b"), 256).alias("hash"))
+        level = durable(pairs.select("index", F.sha2(F.concat("a", "b"), 256).alias("hash")))
         levels.append(level)
         n = -(-n // 2)
     return levels
@@ -82,8 +93,6 @@ def inclusion_proof(leaves: DataFrame, index: int) -> list[tuple[str, bool]]:
 
 
 def proof_holds(leaf: str, proof: list[tuple[str, bool]], root: str) -> bool:
-    import hashlib
-
     for sibling, right in proof:
         leaf = hashlib.sha256((leaf + sibling if right else sibling + leaf).encode()).hexdigest()
     return leaf == root

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraweave.operators.grid import area, blocking_join, centre_distance, overlap
+from terraweave.operators.quantiles import exact_quantiles
+from terraweave.session import durable
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
@@ -77,8 +79,8 @@ def mutual_assignment(scored: DataFrame, accept: float = 0.55, flag: float = 0.3
 
 def registration_offset(scored: DataFrame, overlap_least: float = 0.55) -> DataFrame:
     """Median displacement of the right layer, residual scatter and whether it is significant."""
-    good = scored.where(F.col("iou") >= overlap_least)
-    middle = good.agg(F.median("dx").alias("mx"), F.median("dy").alias("my"), F.count(F.lit(1)).alias("n"))
+    good = durable(scored.where(F.col("iou") >= overlap_least).select("dx", "dy"))
+    middle = exact_quantiles(good, mx=("dx", 0.5), my=("dy", 0.5)).join(F.broadcast(good.agg(F.count(F.lit(1)).alias("n"))))
     # One row against the links: its size is one by construction.
     spread = good.join(F.broadcast(middle)).groupBy("mx", "my", "n").agg(F.sqrt(F.avg(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2))).alias("rms"))
     size = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my"))

@@ -30,10 +30,11 @@ def envelope(geom: Column) -> Column:
 
 
 def polygon_area(geom: Column) -> Column:
-    """Area of the first ring less the others, from coordinates relative to the first vertex."""
+    """Area of the first ring less the others, or of all parts of a MultiPolygon, from coordinates relative to the first vertex."""
     first = F.get(F.get(geom["rings"], F.lit(0)), F.lit(0))
-    areas = F.transform(geom["rings"], lambda r: R.area(R.shifted(r, -first["x"], -first["y"])))
-    return F.get(areas, F.lit(0)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, v: s + v)
+    areas = F.transform(geom["rings"], lambda r: R.signed_area(R.shifted(r, -first["x"], -first["y"])))
+    total = lambda f: F.aggregate(F.transform(areas, f), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.lower(geom["kind"]) == "multipolygon", F.abs(total(lambda a: a))).otherwise(F.abs(F.get(areas, F.lit(0))) * 2 - total(F.abs))
 
 
 def ground_polygons(features: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def ground_polygons(features: DataFrame, classes: list[str] | None = None) -> Da
     """
     rows = features if classes is None else features.where(F.col("feature_class").isin(classes))
     once = first_rows(rows, ["dataset_id", "source_feature_id"], "id", ["feature_class", "properties", "geom_metric"])
-    shaped = once.where(F.lower("geom_metric.kind") == "polygon").withColumn("_b", envelope(F.col("geom_metric")))
+    shaped = once.where(F.lower("geom_metric.kind").isin("polygon", "multipolygon")).withColumn("_b", envelope(F.col("geom_metric")))
     fine = (F.col("_b.x1") >= EAST[0]) & (F.col("_b.x2") <= EAST[1]) & (F.col("_b.y1") >= NORTH[0]) & (F.col("_b.y2") <= NORTH[1]) & F.forall("geom_metric.rings", lambda r: F.size(r) >= 4)
     return shaped.where(fine).select(F.col("id").alias("fid"), "dataset_id", "feature_class", "properties", F.col("geom_metric").alias("geom"), "_b.*")
 

@@ -64,7 +64,7 @@ x AS (SELECT *, (1 - qh) * theta / qh AS raw FROM w),
 f AS (SELECT *, sum(raw) OVER (PARTITION BY entity) + theta AS total FROM x),
 fused AS (SELECT entity, value, sources, raw / total AS belief, (raw + theta) / total AS plausibility FROM f)"""
 _RESOLVED = _FUSED + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY belief DESC, value DESC) AS rn, count(*) OVER (PARTITION BY entity) AS options, sum(sources) OVER (PARTITION BY entity) AS claims FROM fused),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY belief DESC, value) AS rn, count(*) OVER (PARTITION BY entity) AS options, sum(sources) OVER (PARTITION BY entity) AS claims FROM fused),
 s AS (SELECT entity, value, options, claims, CASE WHEN options = 1 AND claims > 1 THEN 1 ELSE belief END AS belief, CASE WHEN options = 1 THEN 1 ELSE plausibility END AS plausibility,
   CASE WHEN claims = 1 THEN 'single_source' WHEN options = 1 THEN 'unanimous' ELSE 'fusion' END AS strategy FROM r WHERE rn = 1),
 resolved AS (SELECT *, options > 1 AND (belief < 0.40 OR plausibility - belief > 0.45) AS escalated FROM s)"""

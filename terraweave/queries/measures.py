@@ -73,9 +73,10 @@ def a17_built_form(spark, sf_dir):
 
 
 def a20_profile(spark, sf_dir):
-    """Null rate and distinct values of every column of orders, over unpivoted cells."""
+    """Null rate and distinct values of every column of orders, over unpivoted cells; amounts to the cent and times to the second as text."""
+    shown = {"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")}
     o = table(spark, sf_dir, "orders")
-    cells = o.select([F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")]).unpivot([], ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "name", "value")
+    cells = o.select(*[shown.get(c, F.col(c).cast("string")).alias(c) for c in o.columns]).unpivot([], o.columns, "name", "value")
     return cells.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.countDistinct(F.substring("value", 1, 64)).alias("distinct_values"), F.round(F.avg(F.length("value")), 6).alias("mean_length"))
 
 
@@ -83,20 +84,9 @@ def a22_dependencies(spark, sf_dir):
     return M.functional_dependencies(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
 
 
-def a23_divergence(spark, sf_dir):
-    """Bigram distributions of the segments of two groups of nations, as its SQL twin has them; a23_texts takes the documents."""
-    d = table(spark, sf_dir, "customer")
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_mktsegment") - 1, F.lit(1))), lambda k: F.substring(F.col("c_mktsegment"), k, F.lit(2))))
-    half = lambda c: d.where(c).select(grams.alias("gram"), F.lit(1).alias("n"))
-    return M.jensen_shannon(half("c_nationkey < 12"), half("c_nationkey >= 12"), "gram").select(F.round("divergence", 6).alias("divergence"))
-
-
 def a23_texts(spark, sf_dir):
-    """Of the texts of every source of documents, the divergence of their bigrams from those of all other sources."""
-    letters = F.split("text", "")
-    grams = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1), lambda a, b: F.concat(a, b))
-    long = table(spark, sf_dir, "documents").where("length(text) > 1")
-    counts = long.select("source", F.explode(grams).alias("gram")).groupBy("source", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """Of the whole texts of every source of documents, the divergence of their bigrams from those of all other sources."""
+    counts = M.bigram_counts(table(spark, sf_dir, "documents"), "source", "text")
     return M.divergence_from_rest(durable(counts), "source", "gram").select("source", F.round("divergence", 6).alias("divergence"))
 
 
@@ -108,7 +98,7 @@ def w11_latest(spark, sf_dir):
 
 QUERIES = {
     "b4_confidence": b4_confidence, "a2_quality_by_ward": a2_quality_by_ward, "a29_quality_cube": a29_quality_cube, "a9_accuracy": a9_accuracy, "a10_moran": a10_moran, "a11_completeness": a11_completeness,
-    "a17_built_form": a17_built_form, "a20_profile": a20_profile, "a22_dependencies": a22_dependencies, "a23_divergence": a23_divergence, "a23_texts": a23_texts, "w11_latest": w11_latest,
+    "a17_built_form": a17_built_form, "a20_profile": a20_profile, "a22_dependencies": a22_dependencies, "a23_texts": a23_texts, "w11_latest": w11_latest,
 }
 
 _RATED = with_layers("parcels_a") + ",\nd AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in _DIMENSIONS.items()) + """ FROM parcels_a),
@@ -143,7 +133,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY c DESC, parent) AS
 g AS (SELECT parent, count(*) AS buildings, sum(a) AS built_up, max(height) AS tallest FROM b WHERE rn = 1 GROUP BY 1)
 SELECT fid, buildings, built_up, tallest, round(100 * built_up / ((x2 - x1) * (y2 - y1)), 6) AS coverage FROM parcels_a JOIN g ON fid = parent""",
     "a20_profile": """
-WITH u AS (SELECT 'o_orderkey' AS name, o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)
+WITH u AS (SELECT 'o_orderkey' AS name, o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders
+  UNION ALL SELECT 'o_totalprice', o_totalprice::DECIMAL(18, 2)::VARCHAR FROM orders UNION ALL SELECT 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders)
 SELECT name, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls, count(DISTINCT value[:64]) AS distinct_values, round(avg(length(value)), 6) AS mean_length FROM u GROUP BY 1""",
     "a22_dependencies": " UNION ALL ".join(
         f"SELECT '{a}' AS determinant, '{b}' AS dependent WHERE (SELECT max(d) FROM (SELECT count(DISTINCT {b}) AS d FROM nation WHERE {a} IS NOT NULL GROUP BY {a})) <= 1"
@@ -151,9 +142,10 @@ SELECT name, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls, coun
         for b in ("n_nationkey", "n_name", "n_regionkey")
         if a != b
     ),
-    "a23_divergence": """
-WITH g AS (SELECT c_nationkey < 12 AS s, unnest(list_transform(range(1, greatest(length(c_mktsegment), 2)), lambda i: substr(c_mktsegment, i, 2))) AS gram FROM customer),
-c AS (SELECT gram, count(*) FILTER (WHERE s) AS a, count(*) FILTER (WHERE NOT s) AS b FROM g GROUP BY 1), p AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c)
-SELECT round((sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS divergence FROM p""",
+    "a23_texts": """
+WITH c AS (SELECT source, gram, count(*) AS n FROM (SELECT source, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS gram FROM documents WHERE length(text) > 1) GROUP BY 1, 2),
+s AS (SELECT source, sum(n) AS g, sum(sum(n)) OVER () AS a FROM c GROUP BY 1), t AS (SELECT gram, sum(n) AS t FROM c GROUP BY 1),
+d AS (SELECT s.source, coalesce(c.n, 0) / g AS p, (t.t - coalesce(c.n, 0)) / nullif(a - g, 0) AS q FROM s CROSS JOIN t LEFT JOIN c ON c.gram = t.gram AND c.source IS NOT DISTINCT FROM s.source)
+SELECT source, round((sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2, 6) AS divergence FROM d GROUP BY 1""",
     "w11_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
 }

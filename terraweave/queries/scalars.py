@@ -64,8 +64,8 @@ def t1_rules(spark, sf_dir):
 
 
 def l2_ledger(spark, sf_dir):
-    """Every nation's row chained by hashes, and whether the chain holds."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("index"), F.concat_ws("|", "n_name", "n_regionkey").alias("payload"))
+    """Every customer's row chained by hashes, and whether the chain holds."""
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("index"), F.concat_ws("|", "c_name", "c_nationkey").alias("payload"))
     return ledger.verified(ledger.chained(n)).select("index", "entry_hash", "holds")
 
 
@@ -133,8 +133,12 @@ SELECT p_partkey, round((n + h) * cos({_PHI}) * cos(radians(lon)), 3) AS x, roun
   round(4 * 3.141592653589793 * (x2 - x1) * (y2 - y1) / pow(2 * (x2 - x1 + y2 - y1), 2), 6) AS compactness, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy FROM parcels_a""",
     "t1_rules": with_layers("buildings") + """ SELECT 'clockwise' AS rule, count(*) AS n FROM buildings WHERE fid % 3 = 0
 UNION ALL SELECT 'micro_area', count(*) FROM buildings WHERE (x2 - x1) * (y2 - y1) < 40 HAVING count(*) > 0""",
+    "l3_merkle": """
+WITH RECURSIVE t AS (SELECT 0 AS d, s_suppkey - min(s_suppkey) OVER () AS i, sha256(sha256(s_name)) AS x, sha256(s_name) AS h FROM supplier
+UNION ALL SELECT d + 1, i // 2, '', sha256(arg_min(h, i) || arg_max(h, i)) FROM (SELECT *, count(*) OVER () AS n FROM t) WHERE n > 1 GROUP BY d + 1, i // 2)
+SELECT arg_max(h, d) AS root FROM t""",
     "l2_ledger": """
-WITH RECURSIVE n AS (SELECT n_nationkey AS i, n_name || '|' || n_regionkey AS payload FROM nation),
+WITH RECURSIVE n AS (SELECT c_custkey AS i, c_name || '|' || c_nationkey AS payload FROM customer),
 c AS (SELECT i, sha256(i || '|' || payload || '|' || repeat('0', 64)) AS h FROM n WHERE i = (SELECT min(i) FROM n)
 UNION ALL SELECT n.i, sha256(n.i || '|' || n.payload || '|' || c.h) FROM c JOIN n ON n.i = c.i + 1)
 SELECT i::BIGINT AS "index", h AS entry_hash, true AS holds FROM c""",

@@ -16,22 +16,42 @@ _FEATURE = "id string, properties map<string,string>, geometry string"
 
 
 def _coordinates(geometry: Column) -> Column:
-    """GEOM of a GeoJSON geometry text: Point, LineString, Polygon and the first part of a MultiPolygon."""
+    """GEOM of a GeoJSON geometry text: points, lines and polygons, one or several; all parts are kept.
+
+    The rings of a MultiPolygon come one after the other as ``flat_parts``
+    puts them.  Collections and unknown kinds are null; ``unread_kinds`` counts
+    them.
+    """
     kind = F.get_json_object(geometry, "$.type")
     pair = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     ring = lambda r: F.transform(r, pair)
     body = F.get_json_object(geometry, "$.coordinates")
-    point = F.from_json(body, "array<double>")
+    flat = F.from_json(body, "array<double>")
     line = F.from_json(body, "array<array<double>>")
-    polygon = F.from_json(body, "array<array<array<double>>>")
-    multi = F.from_json(body, "array<array<array<array<double>>>>")
+    lines = F.from_json(body, "array<array<array<double>>>")
+    several = F.from_json(body, "array<array<array<array<double>>>>")
     found = (
-        F.when(kind == "Point", F.array(F.array(pair(point))))
+        F.when(kind == "Point", F.array(F.array(pair(flat))))
         .when(kind == "LineString", F.array(ring(line)))
-        .when(kind == "Polygon", F.transform(polygon, ring))
-        .when(kind == "MultiPolygon", F.transform(F.get(multi, F.lit(0)), ring))
+        .when(kind == "MultiPoint", F.transform(ring(line), lambda p: F.array(p)))
+        .when(kind.isin("Polygon", "MultiLineString"), F.transform(lines, ring))
+        .when(kind == "MultiPolygon", rings.flat_parts(F.transform(several, lambda p: F.transform(p, ring))))
     )
-    return F.when(found.isNotNull() & (F.size(found) > 0), F.struct(F.when(kind == "MultiPolygon", "Polygon").otherwise(kind).alias("kind"), found.alias("rings")))
+    return F.when(found.isNotNull() & (F.size(found) > 0), F.struct(kind.alias("kind"), found.alias("rings")))
+
+
+def unread_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, n) of the features of a GeoJSON-lines file that have a geometry which no reader here can read."""
+    parsed = _json_lines(spark, path).select(F.from_json("line", _FEATURE)["geometry"].alias("g")).where("g IS NOT NULL AND g <> 'null'")
+    return parsed.where(_coordinates(F.col("g")).isNull()).groupBy(F.coalesce(F.get_json_object("g", "$.type"), F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def declared_crs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, crs) of the crs member of GeoJSON documents; EPSG:4326 where none is declared."""
+    named = F.get_json_object("value", "$.crs.properties.name")
+    code = F.regexp_extract(named, r"EPSG:+(\d+)", 1)
+    crs = F.when(named.isNull() | F.contains(named, F.lit("CRS84")), "EPSG:4326").when(code != "", F.concat(F.lit("EPSG:"), code)).otherwise(named)
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), crs.alias("crs"))
 
 
 def _features(parsed: DataFrame, dataset_id: str) -> DataFrame:
@@ -46,8 +66,21 @@ def read_geojson_lines(spark: SparkSession, path: str, dataset_id: str) -> DataF
     A feature without an identifier gets one from its geometry's hash, so that
     the id does not depend on how the file is split.
     """
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",$", "").alias("line")).where(F.startswith("line", F.lit("{")))
-    return _features(lines.select(F.from_json("line", _FEATURE).alias("f")), dataset_id)
+    return _features(_json_lines(spark, path).select(F.from_json("line", _FEATURE).alias("f")), dataset_id)
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",$", "").alias("line")).where(F.startswith("line", F.lit("{")))
+
+
+def probe_geojson_lines(spark: SparkSession, path: str, dataset_id: str, lines: int = 5_000) -> DataFrame:
+    """(attribute, n, null_rate, distinct_values) of the first lines of a file, and of ``geom`` by kind: a look before a load."""
+    features = read_geojson_lines(spark, path, dataset_id).limit(lines)
+    total = features.agg(F.count(F.lit(1)).alias("rows"))
+    cells = features.select(F.explode("properties").alias("attribute", "value")).unionByName(features.select(F.lit("geom").alias("attribute"), F.col("geom.kind").alias("value")))
+    own = cells.groupBy("attribute").agg(F.count_if(F.trim("value") != "").alias("n"), F.countDistinct(F.substring("value", 1, 64)).alias("distinct_values"))
+    # One row against the attributes.
+    return own.join(F.broadcast(total)).select("attribute", "n", (1 - F.col("n") / F.col("rows")).alias("null_rate"), "distinct_values")
 
 
 def read_geojson(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
@@ -56,8 +89,8 @@ def read_geojson(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
     return _features(whole, dataset_id)
 
 
-# Names under which a WKT column goes.
-WKT_COLUMNS = ["wkt", "geometry", "geom", "the_geom", "shape", "wkt_geom"]
+# Names under which a WKT column goes, the first that a file has counts.
+WKT_COLUMNS = ["wkt", "geom", "geometry", "the_geom", "shape", "wkt_geom"]
 
 
 def read_wkt_csv(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
@@ -65,7 +98,7 @@ def read_wkt_csv(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
     name = path.removesuffix(".gz")
     sep = "\t" if name.endswith((".tsv", ".tab")) else "|" if name.endswith(".psv") else ","
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
-    shape = next((c for c in df.columns if c.lower() in WKT_COLUMNS), None)
+    shape = next((c for name in WKT_COLUMNS for c in df.columns if c.strip().lower() == name), None)
     others = [c for c in df.columns if c != shape]
     props = F.map_filter(F.create_map(*[x for c in others for x in (F.lit(c), F.col(f"`{c}`"))]), lambda k, v: v.isNotNull()) if others else F.create_map().cast("map<string,string>")
     geom = rings.from_wkt(F.col(f"`{shape}`")) if shape else F.lit(None).cast("struct<kind:string,rings:array<array<struct<x:double,y:double>>>>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraweave.functions import rings
+
 
 def geojson_feature(fid: str = "fid", geom: str = "geom", properties: list[str] | None = None) -> Column:
     """The GeoJSON text of a row; columns that begin with an underscore are never written."""
@@ -13,6 +15,8 @@ def geojson_feature(fid: str = "fid", geom: str = "geom", properties: list[str]
     body = (
         F.when(g["kind"] == "Point", F.to_json(F.get(F.get(F.transform(g["rings"], ring), F.lit(0)), F.lit(0))))
         .when(g["kind"] == "LineString", F.to_json(F.get(F.transform(g["rings"], ring), F.lit(0))))
+        .when(g["kind"] == "MultiPoint", F.to_json(F.flatten(F.transform(g["rings"], ring))))
+        .when(g["kind"] == "MultiPolygon", F.to_json(F.transform(rings.parts_of(g), lambda p: F.transform(p, ring))))
         .otherwise(F.to_json(F.transform(g["rings"], ring)))
     )
     shown = [c for c in properties or [] if not c.startswith("_")]

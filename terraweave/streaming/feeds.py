@@ -23,37 +23,49 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 day", time:
     return out.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
-#: The most subscriptions that are joined to every event.
-MOST_SUBSCRIPTIONS = 10_000
-
-
 def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Events each active subscription asks for: by type (an empty list is any) and least value.
+    """(event_id, sub_id) of the events each active subscription asks for: by type (an empty list is any), least value and area.
 
-    The subscriptions become one array expression, bounded by
-    MOST_SUBSCRIPTIONS, so a stream needs no state and no join.
+    ``subscriptions``: sub_id, event_types, least, active, and x1, y1, x2, y2
+    where events have x and y; a null corner is no limit.  A subscription is
+    joined by its types, one to all of them under a mark of its own, so a
+    stream of events meets a table in an equi-join and needs no state.
     """
-    rows = subscriptions.where("active").select("sub_id", "event_types", "least").orderBy("sub_id").limit(MOST_SUBSCRIPTIONS + 1).collect()
-    if len(rows) > MOST_SUBSCRIPTIONS:
-        raise ValueError(f"more than {MOST_SUBSCRIPTIONS} active subscriptions")
-    hits = [F.when((F.lit(True) if not r["event_types"] else F.col("event_type").isin(list(r["event_types"]))) & (F.col("value") >= r["least"]), F.lit(r["sub_id"])) for r in rows]
-    return events.select("event_id", F.explode(F.array_compact(F.array(*hits))).alias("sub_id")) if hits else events.select("event_id", F.lit(None).cast("bigint").alias("sub_id")).limit(0)
+    every = F.lit("*")
+    wanted = subscriptions.where("active").withColumn("_t", F.explode(F.when(F.size("event_types") > 0, F.array_distinct("event_types")).otherwise(F.array(every))))
+    boxed = {"x1", "y1", "x2", "y2"} <= set(subscriptions.columns) and {"x", "y"} <= set(events.columns)
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")] if boxed else []
+    asked = wanted.select("sub_id", "least", "_t", *box)
+    offered = events.withColumn("_t", F.explode(F.array_distinct(F.array(F.coalesce("event_type", F.lit("")), every))))
+    met = offered.join(asked, "_t").where(F.col("value") >= F.col("least"))
+    if boxed:
+        inside = lambda low, v, high: F.coalesce(F.col(low) <= F.col(v), F.lit(True)) & F.coalesce(F.col(v) <= F.col(high), F.lit(True))
+        met = met.where(inside("x1", "x", "x2") & inside("y1", "y", "y2"))
+    return met.select("event_id", "sub_id")
 
 
 def merge_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the last row of every key in a versioned Parquet table.
 
-    Each batch writes a new version ``v=<batch>`` from the one before, so a
-    batch that runs twice gives the same table.
+    Each batch writes the version ``v=<batch>`` from the newest one before it,
+    so a batch that runs twice gives the same table, batch numbers may have
+    gaps, and a reader of the version before is not disturbed.  Older versions
+    are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = sorted(int(s.getPath().getName()[2:]) for s in files.listStatus(root) if s.getPath().getName().startswith("v=")) if files.exists(root) else []
+        before = [v for v in known if v < number]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
-        if number > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}")
-            both = before.unionByName(last)
+        if before:
+            both = spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}").unionByName(last)
             last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
         last.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for old in before[:-1]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
 
     return write

@@ -119,3 +119,58 @@ def test_plan_layers_resume_and_cycles(spark, tmp_path):
     plan.stage("d", ("c",))(a)
     with pytest.raises(ValueError, match="cycle"):
         plan.layers()
+
+
+def test_every_part_of_several_is_kept(spark, tmp_path):
+    hole = [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], [[2, 2], [4, 2], [4, 4], [2, 4], [2, 2]]]
+    far = [[[20, 0], [20, 5], [25, 5], [25, 0], [20, 0]]]
+    shapes = [
+        {"type": "MultiPolygon", "coordinates": [hole, far]}, {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[5, 5], [6, 6], [7, 7]]]},
+        {"type": "GeometryCollection", "geometries": []}, {"type": "Blob", "coordinates": []},
+    ]
+    path = tmp_path / "several.geojsonl"
+    path.write_text("\n".join(json.dumps({"type": "Feature", "id": str(k), "geometry": g, "properties": {}}) for k, g in enumerate(shapes)))
+    from terraweave.functions import rings
+    from terraweave.operators.overlay import polygon_area
+
+    layer = readers.read_geojson_lines(spark, str(path), "D").select("*", polygon_area(F.col("geom")).alias("area"), rings.wkt(F.col("geom")).alias("text"))
+    got = {r.fid: r for r in layer.collect()}
+    assert set(got) == {"0", "1", "2"} and got["0"].geom.kind == "MultiPolygon" and len(got["0"].geom.rings) == 3 and got["0"].area == 121.0
+    assert len(got["1"].geom.rings) == 2 and [len(r) for r in got["2"].geom.rings] == [2, 3]
+    assert {r.kind: r.n for r in readers.unread_kinds(spark, str(path)).collect()} == {"GeometryCollection": 1, "Blob": 1}
+    back = {r.fid: r.g for r in layer.select("fid", rings.from_wkt(F.col("text")).alias("g")).collect()}
+    assert all(back[k] == got[k].geom for k in got)
+    writers.write_geojson_lines(layer.select("fid", "geom"), str(tmp_path / "out"))
+    again = {r.fid: r.geom for r in readers.read_geojson_lines(spark, str(tmp_path / "out"), "D").collect()}
+    assert all(again[k] == got[k].geom for k in got)
+    loose = spark.createDataFrame([("MULTIPOINT (1 2, 3 4)",), ("multipolygon (((0 0, 1 0, 1 1, 0 0)))",), ("POLYGON EMPTY",), (None,), ("x",)], "t string").select(rings.from_wkt(F.col("t")).alias("g")).collect()
+    assert [r.g.kind if r.g else None for r in loose] == ["MultiPoint", "MultiPolygon", None, None, None]
+
+
+def test_a_probe_and_the_declared_frame(spark, tmp_path):
+    path = tmp_path / "p.geojsonl"
+    path.write_text("\n".join(json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, 1]}, "properties": {"a": "x" if k else None, "b": str(k)}}) for k in range(4)))
+    got = {r.attribute: (r.n, r.null_rate, r.distinct_values) for r in readers.probe_geojson_lines(spark, str(path), "D").collect()}
+    assert got == {"a": (3, 0.25, 1), "b": (4, 0.0, 4), "geom": (4, 0.0, 1)}
+    for name, crs in (("urn:ogc:def:crs:EPSG::32644", "EPSG:32644"), ("urn:ogc:def:crs:OGC:1.3:CRS84", "EPSG:4326"), (None, "EPSG:4326")):
+        doc = tmp_path / "c.geojson"
+        doc.write_text(json.dumps({"type": "FeatureCollection", "features": []} | ({"crs": {"type": "name", "properties": {"name": name}}} if name else {})))
+        assert readers.declared_crs(spark, str(doc)).first().crs == crs
+
+
+def test_a_merge_of_batches_with_gaps(spark, tmp_path):
+    sink = feeds.merge_into(str(tmp_path / "t"), ["k"], "at")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, at int, v string")
+    sink(rows((1, 1, "a"), (2, 1, "b")), 0)
+    sink(rows((1, 2, "c")), 3)
+    sink(rows((1, 2, "c")), 3)
+    sink(rows((3, 1, "d"), (2, 0, "late")), 7)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t/v=7")).collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    assert {p.name for p in (tmp_path / "t").iterdir()} == {"v=3", "v=7"}
+
+
+def test_deliveries_by_type_value_and_area(spark):
+    events = spark.createDataFrame([(1, "click", 5.0, 1.0, 1.0), (2, "view", 50.0, 9.0, 9.0), (3, None, 50.0, None, 1.0)], "event_id int, event_type string, value double, x double, y double")
+    subs = spark.createDataFrame([(1, ["click"], 0.0, True, None, None, None, None), (2, [], 10.0, True, 0.0, 0.0, 5.0, 5.0), (3, [], 10.0, True, None, None, None, None), (4, [], 0.0, False, None, None, None, None), (5, ["view", "view"], 0.0, True, 8.0, None, None, None)], "sub_id int, event_types array<string>, least double, active boolean, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(map(tuple, feeds.deliveries(events, subs).collect())) == [(1, 1), (2, 3), (2, 5), (3, 2), (3, 3)]
+    assert feeds.deliveries(events, subs.limit(0)).count() == 0
