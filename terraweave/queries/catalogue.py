@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, feeds, ground, identity, joins, linkage, measures, problems, resolution, scalars, serving
+from terraweave.queries import evidence, fabric, feeds, ground, identity, joins, linkage, measures, problems, resolution, scalars, serving
 
-MODULES = [problems, ground, identity, joins, evidence, resolution, linkage, measures, scalars, feeds, serving]
+MODULES = [problems, ground, identity, joins, evidence, resolution, fabric, linkage, measures, scalars, feeds, serving]
 
 FLAGSHIP = problems.p3_found
 
