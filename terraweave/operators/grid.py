@@ -15,28 +15,38 @@ from pyspark.sql import functions as F
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _cells(df: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - grow) / size), F.floor((F.col(hi) + grow) / size))
-    return df.withColumn("_u", F.explode(span("x1", "x2"))).withColumn("_v", F.explode(span("y1", "y2")))
+def _cells(df: DataFrame, size: float, scales: tuple[int, ...], grow: float = 0.0) -> DataFrame:
+    """``df`` once for every cell it meets, on its own scale and all coarser ones; _own is the first scale whose cells are no less than an eighth of it."""
+    width = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * grow
+    own = F.lit(len(scales) - 1)
+    for k in range(len(scales) - 2, -1, -1):
+        own = F.when(width <= 8 * size * scales[k], k).otherwise(own)
+    step = F.get(F.array(*[F.lit(float(size * s)) for s in scales]), F.col("_s"))
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - grow) / step), F.floor((F.col(hi) + grow) / step))
+    at = df.withColumn("_own", own).withColumn("_s", F.explode(F.sequence(F.col("_own"), F.lit(len(scales) - 1))))
+    return at.withColumn("_u", F.explode(span("x1", "x2"))).withColumn("_v", F.explode(span("y1", "y2")))
 
 
 def _sided(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*[F.col(c) if c in ("_u", "_v") else F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    return df.select(*[F.col(c) if c in ("_s", "_u", "_v") else F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
-def box_join(left: DataFrame, right: DataFrame, radius: float = 0.0, cell: float = 32.0) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, radius: float = 0.0, cell: float = 32.0, scales: tuple[int, ...] = (1,)) -> DataFrame:
     """Pairs of boxes whose envelopes lie within ``radius`` of each other (closed intervals).
 
     Columns of both sides come with the prefixes ``l_`` and ``r_``.  Boxes with
     a null coordinate join nothing; empty sides give no rows; equal boxes are
-    all paired.
+    all paired.  Where sizes differ widely, ``scales`` gives multiples of the
+    cell: a large box goes into few large cells instead of many small ones, and
+    a pair meets on the coarser scale of the two.
     """
-    a = _sided(_cells(left.dropna(subset=[*BOX]), cell, radius), "l")
-    b = _sided(_cells(right.dropna(subset=[*BOX]), cell), "r")
+    a = _sided(_cells(left.dropna(subset=[*BOX]), cell, scales, radius), "l")
+    b = _sided(_cells(right.dropna(subset=[*BOX]), cell, scales), "r")
     low_x, low_y = F.greatest(F.col("l_x1") - radius, "r_x1"), F.greatest(F.col("l_y1") - radius, "r_y1")
     meets = (F.col("r_x1") <= F.col("l_x2") + radius) & (F.col("r_x2") >= F.col("l_x1") - radius) & (F.col("r_y1") <= F.col("l_y2") + radius) & (F.col("r_y2") >= F.col("l_y1") - radius)
-    owner = (F.col("_u") == F.floor(low_x / cell)) & (F.col("_v") == F.floor(low_y / cell))
-    return a.join(b, ["_u", "_v"]).where(meets & owner).drop("_u", "_v")
+    step = F.get(F.array(*[F.lit(float(cell * s)) for s in scales]), F.col("_s"))
+    owner = (F.col("_s") == F.greatest("l__own", "r__own")) & (F.col("_u") == F.floor(low_x / step)) & (F.col("_v") == F.floor(low_y / step))
+    return a.join(b, ["_s", "_u", "_v"]).where(meets & owner).drop("_s", "_u", "_v", "l__own", "r__own")
 
 
 def area(side: str) -> Column:
@@ -94,17 +104,29 @@ def nearest_join(points: DataFrame, others: DataFrame, cell: float, k: int = 1,
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("l_fid", "r_fid", "distance", "rank")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], bucket: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time; left outer.
 
-    Both sides are united and carried forward in one window per key, so the
-    join shuffles once and never pairs all rows of a key.
+    Both sides are united and carried forward in a window, so the join never
+    pairs all rows of a key.  With ``bucket`` (seconds) the windows end with a
+    stretch of time and the last row of each stretch is carried to the later
+    ones of its key, so a hot key is spread over as many tasks as it has
+    stretches; the result is the same.
     """
-    a = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), *[F.lit(None).cast(dict(right.dtypes)[v]).alias(v) for v in values], F.lit(None).cast("boolean").alias("_hit"))
-    b = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *values, F.lit(True).alias("_hit"))
-    so_far = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stretch = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (bucket * 1_000_000)) if bucket else F.lit(0).cast("bigint")
+    a = left.select(*keys, F.col(time).alias("_t"), stretch.alias("_b"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), *[F.lit(None).cast(dict(right.dtypes)[v]).alias(v) for v in values], F.lit(None).cast("boolean").alias("_hit"))
+    b = right.select(*keys, F.col(time).alias("_t"), stretch.alias("_b"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *values, F.lit(True).alias("_hit"))
+    so_far = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last(F.when(F.col("_hit"), F.struct(*values)), ignorenulls=True).over(so_far)
-    return a.unionByName(b).withColumn("_last", last).where("_side = 1").select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
+    both = a.unionByName(b)
+    out = both.withColumn("_last", last).where("_side = 1")
+    if bucket:
+        ends = both.groupBy(*keys, "_b").agg(F.max_by(F.struct(*values), F.when(F.col("_hit"), F.col("_t"))).alias("_end"), F.count("_hit").alias("_n"))
+        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.last(F.when(F.col("_n") > 0, F.col("_end")), ignorenulls=True).over(before).alias("_carried"))
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b").eqNullSafe(F.col("_kb"))]
+        out = out.join(carried, on, "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return out.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

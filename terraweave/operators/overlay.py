@@ -72,14 +72,14 @@ def with_overlay(pairs: DataFrame, left: str = "l_geom", right: str = "r_geom")
     return _added(pairs, "area_l double;area_r double;shared double", areas)
 
 
-def overlay_join(left: DataFrame, right: DataFrame, least: float = 0.0, cell: float = 32.0) -> DataFrame:
+def overlay_join(left: DataFrame, right: DataFrame, least: float = 0.0, cell: float = 32.0, scales: tuple[int, ...] = (1, 16)) -> DataFrame:
     """Pairs of polygons that share more than ``least`` square metres, with area_l, area_r and shared.
 
     ``left`` and ``right`` have fid, geom and the envelope x1, y1, x2, y2; their
     columns come with the prefixes l_ and r_.  Polygons that only touch share
     nothing; equal ones are all paired; empty sides give no rows.
     """
-    return with_overlay(box_join(left, right, 0.0, cell)).where((F.col("shared") > least) & (F.col("shared") > 0))
+    return with_overlay(box_join(left, right, 0.0, cell, scales)).where((F.col("shared") > least) & (F.col("shared") > 0))
 
 
 def iou() -> Column:

@@ -54,7 +54,7 @@ def j0_as_of(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), "event_id")
     # The last order is unique by time and key; of orders at one time the largest key counts.
     last = orders.groupBy("k", "t").agg(F.max("o_orderkey").alias("o_orderkey"))
-    return grid.as_of_join(events, last, ["k"], "t", ["o_orderkey"]).select("event_id", "o_orderkey")
+    return grid.as_of_join(events, last, ["k"], "t", ["o_orderkey"], 30 * 86_400).select("event_id", "o_orderkey")
 
 
 def p1_bbox_filter(spark, sf_dir):
