@@ -14,7 +14,10 @@ E2 = FLAT * (2 - FLAT)
 SPHERE = 6371008.8
 
 # Area units in square metres.
-UNITS = {"m2": 1.0, "hectare": 10000.0, "are": 100.0, "acre": 4046.8564224, "cent": 40.468564224, "sqft": 0.09290304, "ground": 222.967296, "km2": 1e6}
+UNITS = {
+    "m2": 1.0, "hectare": 10000.0, "are": 100.0, "acre": 4046.8564224, "cent": 40.468564224, "sqft": 0.09290304, "ground": 222.967296, "km2": 1e6,
+    "kuzhi": 3.34450944, "ankanam": 6.6889, "guntha": 101.17141056, "bigha_assam": 1337.8, "kanal": 505.857, "marla": 25.2929,
+}
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -86,3 +89,27 @@ def vincenty(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int
 
     far = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
     return F.when(F.abs(lon2 - lon1) > 179.3, haversine(lon1, lat1, lon2, lat2)).otherwise(F.coalesce(F.nanvl(far, haversine(lon1, lat1, lon2, lat2)), F.lit(0.0)))
+
+
+def extent_text(value: Column, style: str = "acre") -> Column:
+    """An area in square metres as records print it: acres and cents, grounds, or square metres alone."""
+    metres = F.format_string("%,.2f m²", value)
+    acres = value / UNITS["acre"]
+    cents = F.bround((acres - F.floor(acres)) * 100).cast("int")
+    if style == "acre":
+        return F.format_string("%d.%02d acre (%s)", F.floor(acres) + (cents == 100).cast("int"), F.when(cents == 100, 0).otherwise(cents), metres)
+    if style == "ground":
+        return F.format_string("%.3f ground (%s)", value / UNITS["ground"], metres)
+    return metres
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of a lon/lat polygon on the ellipsoid: its first ring less the others."""
+    areas = F.transform(rings, ring_area)
+    return F.get(areas, F.lit(0)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, v: s + v)
+
+
+def metric_frame(lon: Column, lat: Column) -> Column:
+    """The EPSG code in which lengths are measured at a place: the UTM zone of its hemisphere; null off the globe."""
+    code = F.floor((lon + 180) / 6) + 1 + F.when(lat >= 0, 32600).otherwise(32700)
+    return F.when(lon.between(-180, 180) & lat.between(-90, 90), F.concat(F.lit("EPSG:"), code.cast("string")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraweave.functions.values import bare_key, squeezed
 from terraweave.operators.eav import field_names, with_parsed_value
 
-#: The most spellings of canonical fields, which become one array expression.
+#: Spellings of canonical fields that become one array expression; more come in several.
 MOST_SPELLINGS = 10_000
 
 
@@ -21,12 +21,15 @@ def crosswalk(values: DataFrame, fields: DataFrame, accept: float = 0.62, review
     best for both sides are accepted or kept for review; ties go to the
     smaller name.  Columns without values have no row.
     """
-    rows = field_names(fields).limit(MOST_SPELLINGS + 1).collect()
-    if len(rows) > MOST_SPELLINGS:
-        raise ValueError(f"more than {MOST_SPELLINGS} spellings of canonical fields")
-    spelled = F.array(*[F.struct(F.lit(r["field_name"]).alias("field_name"), F.lit(r["spelling"]).alias("spelling")) for r in rows])
+    # A row for each spelling that the canonical schema declares.
+    rows = field_names(fields).select("field_name", "spelling").collect()
     columns = values.select("dataset_id", "attribute").distinct()
-    named = columns.select("*", F.explode(spelled).alias("s")).select("dataset_id", "attribute", "s.*")
+    named = None
+    for k in range(0, max(1, len(rows)), MOST_SPELLINGS):
+        some = [F.struct(F.lit(r["field_name"]).alias("field_name"), F.lit(r["spelling"]).alias("spelling")) for r in rows[k : k + MOST_SPELLINGS]]
+        spelled = F.array(*some) if some else F.array().cast("array<struct<field_name:string,spelling:string>>")
+        part = columns.select("*", F.explode(spelled).alias("s")).select("dataset_id", "attribute", "s.*")
+        named = part if named is None else named.unionByName(part)
     key = bare_key(F.col("attribute"))
     close = 1 - F.levenshtein(key, "spelling") / F.greatest(F.length(key), F.length("spelling"), F.lit(1))
     lexical = named.groupBy("dataset_id", "attribute", "field_name").agg(F.max(close).alias("lexical")).where("lexical >= 0.4")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraweave.queries import evidence, fabric, feeds, ground, identity, joins, linkage, measures, problems, records, resolution, scalars, serving
+from terraweave.queries import basics, evidence, fabric, feeds, ground, identity, joins, linkage, measures, problems, records, resolution, scalars, serving
 
-MODULES = [problems, ground, identity, joins, evidence, resolution, fabric, records, linkage, measures, scalars, feeds, serving]
+MODULES = [problems, ground, identity, joins, evidence, resolution, fabric, records, linkage, measures, scalars, basics, feeds, serving]
 
 FLAGSHIP = problems.p3_found
 
