@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraweave.functions import polygons as P
+from terraweave.functions import values as V
 from terraweave.operators import evidence as E
 from terraweave.operators.eav import field_names, with_parsed_value
-from terraweave.functions import values as V
 from terraweave.session import durable
 
 FAMILIES = ("position", "shape", "tenure", "extent", "classification", "identity", "network")
@@ -131,6 +136,56 @@ def decided(evidence: DataFrame) -> DataFrame:
     )
 
 
+def fused_geometry(claims: DataFrame, tolerance: float = 0.5, least_iou: float = 0.9) -> DataFrame:
+    """(entity_id, dataset_id, members, claims, corroboration, spread) of the geometry that stands for each entity.
+
+    ``claims``: entity_id, dataset_id, geom (metric), mass, accuracy_m; one of
+    each dataset, so a group is no larger than the list of datasets.  The
+    claims, weightiest first, join the first cluster whose leader lies within
+    the tolerance (at least ``tolerance``, else the two largest deviations
+    together) or shares ``least_iou`` of the area with it; the weightiest
+    member of the cluster of most mass stands.  Claims without a polygon take
+    no part.
+    """
+    row = F.struct(F.negative("mass").alias("order"), "dataset_id", "accuracy_m", "geom")
+    groups = claims.where("entity_id IS NOT NULL AND geom IS NOT NULL").groupBy("entity_id").agg(F.array_sort(F.collect_list(row)).alias("claims"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for entity, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shapes = []
+                for r in rows:
+                    points = np.array([(p["x"], p["y"]) for p in (r["geom"]["rings"] or [[]])[0] or []], float)
+                    if len(points) >= 4 and np.isfinite(points).all() and abs(P.ring_area(points)) > 0:
+                        shapes.append((r, points, points[:-1].mean(0)))
+                if not shapes:
+                    continue
+                accuracy = sorted((r["accuracy_m"] or 0.0 for r, _, _ in shapes), reverse=True)[:2]
+                near = max(tolerance, float(np.hypot(*accuracy)) if len(accuracy) > 1 else 0.0)
+                clusters: list[list[int]] = []
+                for k, (_, ring, centre) in enumerate(shapes):
+                    for c in clusters:
+                        lead, middle = shapes[c[0]][1:]
+                        edge = [np.column_stack([np.zeros(len(g) - 1), g[:-1], g[1:]]) for g in (lead, ring)]
+                        if np.hypot(*(middle - centre)) <= near:
+                            c.append(k)
+                            break
+                        a, b, both = (float(v[0]) for v in P.overlay_areas(*edge, 1))
+                        if both / (a + b - both) >= least_iou:
+                            c.append(k)
+                            break
+                    else:
+                        clusters.append([k])
+                best = max(clusters, key=lambda c: (-sum(shapes[k][0]["order"] for k in c), -c[0]))
+                n = len(shapes)
+                spread = max((float(np.hypot(*(shapes[i][2] - shapes[j][2]))) for i in range(n) for j in range(i)), default=0.0)
+                out.append((entity, shapes[best[0]][0]["dataset_id"], len(best), n, (len(best) - 1) / (n - 1) if n > 1 else 0.0, spread))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["entity_id", "dataset_id", "members", "claims", "corroboration", "spread"])
+
+    return groups.mapInArrow(run, "entity_id string, dataset_id string, members bigint, claims bigint, corroboration double, spread double")
+
+
 def case_priority(severity: Column, uncertainty: Column, area: Column, batch: Column) -> Column:
     """Priority of a case from its severity, what is open, the area it concerns and how many cases share its batch."""
     return 0.34 * severity + 0.28 * uncertainty + 0.24 * F.least(F.lit(1.0), F.log10(area + 1) / 4) + 0.14 * F.least(F.lit(1.0), F.log10(batch + 1) / 3)

@@ -17,6 +17,53 @@ def paged(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame
     return page.join(F.broadcast(total))
 
 
+def items(
+    records: DataFrame, *, districts: list[str] | None = None, least_confidence: float | None = None, grades: list[str] | None = None, ward: str | None = None, code: str | None = None, number: str | None = None,
+    changes: DataFrame | None = None, change: str | None = None, box: tuple[float, float, float, float] | None = None, private: list[str] | None = None, granted: bool = False,
+) -> DataFrame:
+    """The records that pass every filter that is given, private columns redacted; page the result with ``paged``.
+
+    By district, least confidence, grade, a part of the ward's name, code,
+    number, a type of change (of ``changes``: fid and change) and a window over
+    the envelope columns.  All but the change are plain comparisons that reach
+    the files.
+    """
+    out = records
+    if districts is not None:
+        out = out.where(F.col("district").isin(districts))
+    if least_confidence is not None:
+        out = out.where(F.col("confidence") >= least_confidence)
+    if grades is not None:
+        out = out.where(F.col("grade").isin(grades))
+    if ward is not None:
+        out = out.where(F.contains(F.lower(F.col("ward").cast("string")), F.lit(ward.lower())))
+    if code is not None:
+        out = out.where(F.col("code") == code)
+    if number is not None:
+        out = out.where(F.col("number") == number)
+    if change is not None and changes is not None:
+        out = out.join(changes.where(F.col("change") == change).select("fid"), "fid", "left_semi")
+    if box is not None:
+        x1, y1, x2, y2 = box
+        out = out.where((F.col("x1") <= x2) & (F.col("x2") >= x1) & (F.col("y1") <= y2) & (F.col("y2") >= y1))
+    return redacted(out, private or [], granted)
+
+
+def provenance_graph(claims: DataFrame, datasets: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of what entities are made of: nodes (node, kind), edges (source, target, kind).
+
+    Datasets state claims, claims concern fields of entities, datasets derive
+    from their parents.
+    """
+    field = F.concat_ws("/", F.lit("field"), "entity_id", "field_name")
+    states = claims.select(F.concat_ws("/", F.lit("dataset"), "dataset_id").alias("source"), field.alias("target"), F.lit("states").alias("kind"))
+    makes = decisions.select(field.alias("source"), F.concat_ws("/", F.lit("entity"), "entity_id").alias("target"), F.col("strategy").alias("kind"))
+    derives = datasets.select(F.explode("lineage_parents").alias("_p"), "dataset_id").select(F.concat_ws("/", F.lit("dataset"), "_p").alias("source"), F.concat_ws("/", F.lit("dataset"), "dataset_id").alias("target"), F.lit("derives").alias("kind"))
+    edges = states.unionByName(makes).unionByName(derives)
+    ends = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
+    return ends.select("node", F.substring_index("node", "/", 1).alias("kind")), edges
+
+
 def redacted(df: DataFrame, private: list[str], granted: bool = False, sign: str = "[redacted]") -> DataFrame:
     """Private columns replaced by a sign where they say something, unless the purpose is granted."""
     return df if granted else df.withColumns({c: F.when(F.col(c).isNotNull(), F.lit(sign)) for c in private if c in df.columns})

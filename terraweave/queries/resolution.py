@@ -91,7 +91,30 @@ def z15_registry(spark, sf_dir):
     return d.groupBy("source_type").agg(F.count(F.lit(1)).alias("datasets"), F.coalesce(F.sum("n"), F.lit(0)).alias("features"), F.round(F.min("positional_accuracy_m"), 3).alias("best_accuracy"))
 
 
+def c5_geometry(spark, sf_dir):
+    """The dataset whose geometry stands for every entity with several, and how many agree with it."""
+    c = table(spark, sf_dir, "source_claim").where("property_path = 'geometry' AND entity_id IS NOT NULL AND dataset_id IS NOT NULL AND lower(value_geom.kind) = 'polygon'")
+    once = c.groupBy("entity_id", "dataset_id").agg(F.max_by(F.struct("value_geom", "accuracy_m", "id"), F.struct(F.coalesce("observed_on", F.lit("0001-01-01").cast("date")), -F.col("id"))).alias("r"))
+    # Metres about the ground's middle are near enough for what lies within a few metres.
+    metres = F.transform("r.value_geom.rings", lambda ring: F.transform(ring, lambda p: F.struct(((p["x"] - 81.0) * 109_300.0).alias("x"), ((p["y"] - 11.0) * 110_600.0).alias("y"))))
+    own = once.join(table(spark, sf_dir, "source_dataset").select("dataset_id", "source_type", "positional_accuracy_m"), "dataset_id", "left")
+    usable = F.when((F.col("r.accuracy_m") > 0) & (F.col("r.accuracy_m") < 100), F.col("r.accuracy_m"))
+    rows = own.select("entity_id", "dataset_id", F.struct(F.lit("Polygon").alias("kind"), metres.alias("rings")).alias("geom"), R.prior(F.col("source_type"), F.lit("shape")).alias("mass"), F.coalesce(usable, "positional_accuracy_m").alias("accuracy_m"))
+    out = R.fused_geometry(rows)
+    return out.select("entity_id", "dataset_id", "members", "claims", F.round("corroboration", 4).alias("corroboration"), F.round("spread", 1).alias("spread"))
+
+
+def x6_graph(spark, sf_dir):
+    """Edges of the provenance graph of all entities by their kind and ends."""
+    from terraweave.operators.serving import provenance_graph
+
+    e = durable(_evidence(spark, sf_dir))
+    _, edges = provenance_graph(e, table(spark, sf_dir, "source_dataset"), R.decided(e))
+    return edges.groupBy("kind", F.substring_index("source", "/", 1).alias("source"), F.substring_index("target", "/", 1).alias("target")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
+
+
 QUERIES = {
+    "c5_geometry": c5_geometry, "x6_graph": x6_graph,
     "c1_claims": c1_claims, "c2_independence": c2_independence, "c6_claims": c6_claims, "c8_strategies": c8_strategies, "c11_queue": c11_queue, "b2_records": b2_records, "b3_confidence": b3_confidence,
     "a4_confidence_summary": a4_confidence_summary, "u4_distinct": u4_distinct, "z6_reliability": z6_reliability, "z15_registry": z15_registry,
 }
@@ -146,6 +169,8 @@ ORACLES = {
     "b2_records": _DECIDED + " SELECT entity_id, " + ", ".join(f"max(value) FILTER (WHERE field_name = '{f}') AS {f}" for f in WEIGHTS) + ", count(*) AS decided, round(min(belief), 5) AS least_belief FROM decided GROUP BY 1",
     "b3_confidence": _CONFIDENCE + " SELECT * FROM graded",
     "a4_confidence_summary": _CONFIDENCE + " SELECT grade, count(*) AS n, round(avg(confidence), 4) AS confidence, round(avg(agreement), 4) AS agreement, round(avg(completeness), 4) AS completeness, round(avg(currency), 4) AS currency FROM graded GROUP BY 1",
+    "x6_graph": _DECIDED + """ SELECT 'states' AS kind, 'dataset' AS source, 'field' AS target, count(*) AS n, count(DISTINCT dataset_id) AS sources FROM evidence
+UNION ALL SELECT strategy, 'field', 'entity', count(*), count(DISTINCT entity_id || '/' || field_name) FROM decided GROUP BY 1 UNION ALL SELECT 'derives', 'dataset', 'dataset', count(*), count(DISTINCT p) FROM up""",
     "u4_distinct": _ONCE + " SELECT entity_id, field_name, string_agg(DISTINCT value, '|' ORDER BY value) AS \"values\", string_agg(DISTINCT dataset_id, '|' ORDER BY dataset_id) AS sources FROM evidence GROUP BY 1, 2",
     "z6_reliability": f"WITH {_PRIORS}, {_TYPES}, {_RANKS}, f AS (SELECT unnest({list(R.FAMILIES)}) AS family) SELECT dataset_id, f.family, coalesce(prior, 0.5) AS prior, round({_accuracy('coalesce(positional_accuracy_m, nominal, 5)')}, 6) AS accuracy, coalesce(half_life, 730) AS half_life, authority::BIGINT AS authority FROM source_dataset AS s CROSS JOIN f LEFT JOIN prior_of AS p ON p.source_type = s.source_type AND p.family = f.family LEFT JOIN type_of AS t ON t.source_type = s.source_type LEFT JOIN rank_of AS r ON r.source_type = s.source_type AND r.family = f.family",
     "z15_registry": "SELECT source_type, count(*) AS datasets, coalesce(sum(n), 0)::BIGINT AS features, round(min(positional_accuracy_m), 3) AS best_accuracy FROM source_dataset LEFT JOIN (SELECT dataset_id, count(DISTINCT source_feature_id) AS n FROM source_feature GROUP BY 1) USING (dataset_id) GROUP BY 1",
