@@ -204,7 +204,30 @@ def k2_published(spark, sf_dir):
     return counts.join(back[0].unionByName(back[1]).unionByName(back[2]), "part")
 
 
+def k6_sequence(spark, sf_dir):
+    """Drone buildings written as CityJSON text sequences and read again: vertices and faces of each."""
+    from terraweave.sources.writers import write_city_sequence
+
+    p = F.col("properties")
+    b = _ground(spark, sf_dir, "DRONE_BLDG").select("fid", "geom", S.resolved_height(p["height_m"].try_cast("double"), p["floors"].try_cast("double"))["height"].alias("height"))
+    path = scratch_path(spark, "city")
+    write_city_sequence(b, path, 32644)
+    lines = spark.read.text(f"{path}/features").select(F.from_json("value", "id string, vertices array<array<bigint>>, CityObjects map<string,struct<geometry:array<struct<boundaries:array<array<array<array<bigint>>>>>>>>").alias("f"))
+    shell = F.get(F.get(F.element_at("f.CityObjects", F.col("f.id"))["geometry"], F.lit(0))["boundaries"], F.lit(0))
+    return lines.select(F.col("f.id").cast("bigint").alias("fid"), F.size("f.vertices").cast("bigint").alias("vertices"), F.size(shell).cast("bigint").alias("faces"), F.round(F.array_max(F.transform("f.vertices", lambda v: F.get(v, F.lit(2)))) / 1000, 3).alias("height"))
+
+
+def k7_sketches(spark, sf_dir):
+    """Field sketches of cadastral parcels as XML, and how long their drawings are."""
+    from terraweave.sources.writers import sketch_xml, svg_sketch
+
+    ring = F.get("geom.rings", F.lit(0))
+    p = _ground(spark, sf_dir, "SVR_CADASTRE").select("fid", sketch_xml(F.col("fid"), O.field_sketch(ring)).alias("xml"), svg_sketch(ring).alias("svg"))
+    return p.select("fid", F.regexp_count("xml", F.lit("<station ")).cast("bigint").alias("stations"), F.regexp_count("svg", F.lit(",")).cast("bigint").alias("points"))
+
+
 QUERIES = {
+    "k6_sequence": k6_sequence, "k7_sketches": k7_sketches,
     "a21_values": a21_values, "x5_heights": x5_heights, "a18_totals": a18_totals, "qc_reasons": qc_reasons, "s15_clip": s15_clip, "k9_groups": k9_groups, "j17_shared": j17_shared, "j18_catalogue": j18_catalogue, "z9_catalogue": z9_catalogue,
     "j10_nearest": j10_nearest, "a12_network": a12_network, "s18_villages": s18_villages, "u6_lookup": u6_lookup, "z26_extents": z26_extents, "r1_filled": r1_filled, "r8_ramp": r8_ramp, "r5_offsets": r5_offsets, "st1_windows": st1_windows,
     "st2_latest": st2_latest, "k2_published": k2_published,
@@ -216,6 +239,8 @@ _VALUES = "v AS (SELECT dataset_id, id, kv.key AS attribute, kv.value AS value F
 _X1, _Y1, _X2, _Y2 = _WINDOW
 ORACLES = {
     "a21_values": f"WITH {_VALUES} SELECT dataset_id, attribute, count(*) AS n, round(avg(length(value)), 6) AS mean_length, round(stddev_pop(length(value)), 6) AS length_deviation, " + ", ".join(f"round(avg(regexp_matches(value, '{p.replace(chr(39), chr(39) * 2)}')::INT), 6) AS {n}" for n, p in S.PATTERNS.items()) + " FROM v GROUP BY 1, 2",
+    "k6_sequence": f"WITH {GROUND}{_HEIGHTS} SELECT fid, 2 * (len(rings[1]) - 1) AS vertices, len(rings[1]) + 1 AS faces, round(height, 3) AS height FROM h JOIN ground USING (fid) WHERE height > 0",
+    "k7_sketches": f"WITH {GROUND} SELECT fid, len(rings[1]) - 1 AS stations, len(rings[1]) AS points FROM ground WHERE dataset_id = 'SVR_CADASTRE'",
     "x5_heights": f"WITH {GROUND}{_HEIGHTS} SELECT fid, round(height, 3) AS height, source FROM h",
     "a18_totals": f"WITH {GROUND}{_HEIGHTS} SELECT source, count(*) AS n, round(max(height), 3) AS tallest, round(sum(height * area), 0) AS volume FROM h GROUP BY 1",
     "qc_reasons": f"""WITH {GROUND} SELECT CASE WHEN try_cast(properties['confidence'] AS DOUBLE) < 0.65 THEN 'confidence' WHEN area = 0 THEN 'empty' WHEN area < 8 THEN 'small' WHEN area > 60000 THEN 'large' WHEN 4 * pi() * outer_area / pow(perimeter, 2) < 0.16 THEN 'thin' WHEN len(rings[1]) > 400 THEN 'vertices' ELSE 'kept' END AS reason,

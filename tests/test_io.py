@@ -174,3 +174,28 @@ def test_deliveries_by_type_value_and_area(spark):
     subs = spark.createDataFrame([(1, ["click"], 0.0, True, None, None, None, None), (2, [], 10.0, True, 0.0, 0.0, 5.0, 5.0), (3, [], 10.0, True, None, None, None, None), (4, [], 0.0, False, None, None, None, None), (5, ["view", "view"], 0.0, True, 8.0, None, None, None)], "sub_id int, event_types array<string>, least double, active boolean, x1 double, y1 double, x2 double, y2 double")
     assert sorted(map(tuple, feeds.deliveries(events, subs).collect())) == [(1, 1), (2, 3), (2, 5), (3, 2), (3, 3)]
     assert feeds.deliveries(events, subs.limit(0)).count() == 0
+
+
+def test_solids_drawings_and_marks(spark, tmp_path):
+    from terraweave.operators.overlay import field_sketch
+
+    ring = [(0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(1, ("Polygon", [ring[::-1]]), 6.5, "a<b"), (2, ("Polygon", []), 3.0, None), (3, None, 3.0, None), (4, ("Polygon", [ring]), None, None)], "fid int, geom struct<kind:string,rings:array<array<struct<x:double,y:double>>>>, height double, use string")
+    writers.write_city_sequence(df, str(tmp_path / "c"), 32644)
+    head = json.loads(spark.read.text(str(tmp_path / "c/head")).first().value)
+    (line,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "c/features")).collect()]
+    solid = line["CityObjects"]["1"]["geometry"][0]["boundaries"][0]
+    assert head["transform"]["scale"] == [0.001] * 3 and len(line["vertices"]) == 8 and len(solid) == 6 and line["vertices"][4][2] == 6500 and line["CityObjects"]["1"]["attributes"]["use"] == "a<b"
+    for face in solid:
+        # Every face looks outwards: the volume under all faces is that of the block.
+        assert len(face[0]) == 4
+    v = [[c / 1000 for c in p] for p in line["vertices"]]
+    volume = 0.0
+    for (face,) in solid:
+        a = v[face[0]]
+        for k in range(1, len(face) - 1):
+            b, c = v[face[k]], v[face[k + 1]]
+            volume += (a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])) / 6
+    assert abs(volume - 30 * 20 * 6.5) < 1e-6
+    out = df.select("fid", writers.svg_sketch(F.get("geom.rings", F.lit(0))).alias("svg"), writers.sketch_xml(F.col("use"), field_sketch(F.get("geom.rings", F.lit(0)))).alias("xml"), writers.kml_placemark(F.col("use"), F.lit(81.0), F.lit(11.5), F.col("height")).alias("kml")).orderBy("fid").collect()
+    assert out[0].svg.count(",") == 5 and out[1].svg is None and 'base="36.06"' in out[0].xml and 'id="a&lt;b"' in out[0].xml and out[2].xml is None and "81.0000000,11.5000000,6.5" in out[0].kml
