@@ -57,6 +57,11 @@ def script(text: Column) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
+def _letters(table: Column, block: int):
+    """Signs of one block by its table of offsets; other signs stay."""
+    return lambda c: F.when(F.shiftright(F.ascii(c), 7) == block, F.coalesce(F.nullif(F.get(table, F.ascii(c).bitwiseAND(127)), F.lit("?")), c)).otherwise(c)
+
+
 def transliterated(text: Column, of: Column | None = None) -> Column:
     """Indic text in Latin letters by its main script (or ``of``); other scripts and signs stay.
 
@@ -64,17 +69,17 @@ def transliterated(text: Column, of: Column | None = None) -> Column:
     before another vowel goes.
     """
     kind = script(text) if of is None else of
-    table = F.lit(None).cast("array<string>")
-    base = F.lit(-1)
+    out = text
     for name, own in INDIC_OWN.items():
-        row = {**INDIC, **own}
-        table = F.when(kind == name, F.array(*[F.lit(row[k]) if k in row else F.lit(None).cast("string") for k in range(128)])).otherwise(table)
-        base = F.when(kind == name, F.lit(SCRIPTS[name][0] >> 7)).otherwise(base)
-    whole = text
-    for conjunct, latin in CONJUNCTS.items():
-        whole = F.when(kind == "tamil", F.replace(whole, F.lit(conjunct), F.lit(latin))).otherwise(whole)
-    signs = F.transform(F.split(whole, ""), lambda c: F.when(F.shiftright(F.ascii(c), 7) == base, F.coalesce(F.get(table, F.ascii(c).bitwiseAND(127)), c)).otherwise(c))
-    return F.when(base >= 0, F.regexp_replace(F.array_join(signs, ""), "a(?=[aeiou])", "")).otherwise(text)
+        row, base = {**INDIC, **own}, SCRIPTS[name][0] >> 7
+        # One literal a script, so that expressions stay small: an entry for each offset, a question mark for none.
+        table = F.split(F.lit("|".join(row.get(k, "?") for k in range(128))), "[|]")
+        whole = text
+        for conjunct, latin in CONJUNCTS.items() if name == "tamil" else ():
+            whole = F.replace(whole, F.lit(conjunct), F.lit(latin))
+        latin_of = _letters(table, base)
+        out = F.when(kind == name, F.regexp_replace(F.array_join(F.transform(F.split(whole, ""), latin_of), ""), "a(?=[aeiou])", "")).otherwise(out)
+    return out
 
 
 def folded(name: Column) -> Column:

@@ -13,7 +13,7 @@ from terraweave.functions import polygons as P
 from terraweave.functions import values as V
 from terraweave.operators import evidence as E
 from terraweave.operators.eav import field_names, with_parsed_value
-from terraweave.session import durable
+from terraweave.session import durable, durable_counted
 
 FAMILIES = ("position", "shape", "tenure", "extent", "classification", "identity", "network")
 # Reliability of each type of source by family, nominal accuracy in metres and half-life in days.
@@ -36,13 +36,14 @@ PRECEDENCE = {
 FAMILY_OF_KIND = {"identity": "identity", "extent": "extent", "use": "classification", "admin": "classification", "built": "classification", "status": "tenure"}
 
 
-def _looked_up(table: dict, key: Column, otherwise: Column) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), otherwise)
+def _looked_up(table: dict, key: Column, otherwise: Column, kind: str = "double") -> Column:
+    """The entry of a fixed table, which enters the plan as one literal."""
+    told = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in table.items())), F.lit(";"), F.lit("="))
+    return F.coalesce(F.element_at(told, key).cast(kind), otherwise)
 
 
 def family(kind: Column) -> Column:
-    return _looked_up(FAMILY_OF_KIND, kind, F.lit("classification"))
+    return _looked_up(FAMILY_OF_KIND, kind, F.lit("classification"), "string")
 
 
 def prior(source_type: Column, of: Column) -> Column:
@@ -60,22 +61,27 @@ def half_life(source_type: Column) -> Column:
 
 def authority_rank(source_type: Column, of: Column) -> Column:
     """Place of a type of source in the precedence of a family, from 0; null where it has none."""
-    return _looked_up({f"{s}|{f}": k for f, types in PRECEDENCE.items() for k, s in enumerate(types)}, F.concat_ws("|", source_type, of), F.lit(None).cast("int"))
+    return _looked_up({f"{s}|{f}": k for f, types in PRECEDENCE.items() for k, s in enumerate(types)}, F.concat_ws("|", source_type, of), F.lit(None).cast("int"), "int")
 
 
 def lineage_roots(datasets: DataFrame, most: int = 64) -> DataFrame:
     """(dataset_id, roots): the sources without parents from which each dataset descends, itself where it has none.
 
-    ``datasets``: dataset_id and lineage_parents.  Parents are followed until
-    none is left; a cycle ends after ``most`` steps and keeps what it holds.
+    ``datasets``: dataset_id and lineage_parents.  The ancestors grow by one
+    generation a step until none is new (``most`` generations); datasets that
+    only descend from each other in a circle have its smallest name.
     """
     parents = durable(datasets.where("dataset_id IS NOT NULL").select(F.col("dataset_id").alias("_d"), F.explode("lineage_parents").alias("_p")).where("_p IS NOT NULL AND _p <> _d").distinct())
-    at = durable(datasets.where("dataset_id IS NOT NULL").select("dataset_id", F.col("dataset_id").alias("root")).distinct())
+    own = datasets.where("dataset_id IS NOT NULL").select("dataset_id", F.col("dataset_id").alias("root")).distinct()
+    at, seen = durable_counted(own, n=F.count(F.lit(1)))
     for _ in range(most):
-        if at.join(parents, F.col("root") == F.col("_d"), "left_semi").isEmpty():
+        more = at.join(parents, F.col("root") == F.col("_d")).select("dataset_id", F.col("_p").alias("root"))
+        grown, now = durable_counted(at.unionByName(more).distinct(), n=F.count(F.lit(1)))
+        if now["n"] == seen["n"]:
             break
-        at = durable(at.join(parents, F.col("root") == F.col("_d"), "left").select("dataset_id", F.coalesce("_p", "root").alias("root")).distinct())
-    return at.groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("root")), ",").alias("roots"))
+        at, seen = grown, now
+    first = at.join(parents.select("_d").distinct(), F.col("root") == F.col("_d"), "left_anti").groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("root")), ",").alias("roots"))
+    return at.groupBy("dataset_id").agg(F.min("root").alias("_any")).join(first, "dataset_id", "left").select("dataset_id", F.coalesce("roots", "_any").alias("roots"))
 
 
 def field_claims(claims: DataFrame, fields: DataFrame) -> DataFrame:
