@@ -39,8 +39,11 @@ MOST_ROUNDS = 5
 STILL = 0.003
 #: Parameters of up to this many pairs of sources are broadcast (some 300 bytes each).
 MOST_BROADCAST = 10_000
-#: A position that more records of one source share to the centimetre is a placeholder and no place.
+#: A position that more records of one source share to the centimetre may be a placeholder: such records are candidates by this
+#: place and by number, and tell nothing of how sources lie displaced.
 SAME_PLACE = 20
+#: Parts in which the records of a shared place are joined with those around it.
+SHARED_WAYS = 32
 RIDGE = 0.15
 SIMILARITIES = ("s1", "s2", "s3")
 #: Pairs of less posterior cannot break transitivity.
@@ -131,7 +134,11 @@ def _first_of(*keys: str) -> Column:
 
 
 def records(features: DataFrame, classes: list[str]) -> DataFrame:
-    """One row per feature: id, dataset_id, source_feature_id, kind, shape, identifier and place code."""
+    """One row per feature: id, dataset_id, source_feature_id, kind, shape, identifier and place code.
+
+    A place that more than SAME_PLACE records of a source share is in sx and
+    sy, not in x and y; where there is none these columns are left out.
+    """
     own = ["id", "dataset_id", "source_feature_id", "run_id", "feature_class"]
     f = features.where(F.col("feature_class").isin(classes)).select(
         *own,
@@ -163,7 +170,8 @@ def records(features: DataFrame, classes: list[str]) -> DataFrame:
     if crowded.isEmpty():
         return placed
     known = placed.select("*", *spot[2:]).join(crowded, ["ds", "kind", "_x", "_y"], "left")
-    return durable(known.select(*[F.when(F.col("_n").isNull(), F.col(c)).alias(c) if c in ("x", "y") else c for c in placed.columns]))
+    alone = [F.when(F.col("_n").isNull(), F.col(c)).alias(c) if c in ("x", "y") else c for c in placed.columns]
+    return durable(known.select(*alone, *[F.when(F.col("_n").isNotNull(), F.col(c)).alias(f"s{c}") for c in ("x", "y")]))
 
 
 # --- candidates --------------------------------------------------------------
@@ -179,21 +187,46 @@ def _two(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "ds", "kind", "code", "number", "size", "x", "y")])
 
 
-def place_candidates(rec: DataFrame) -> DataFrame:
-    """Pairs of one kind from two sources within reach of each other and of similar size."""
-    reach = F.when(F.col("kind") == "parcel", REACH["parcel"]).otherwise(REACH["building"])
+def _reach(kind: str) -> Column:
+    return F.when(F.col(kind) == "parcel", REACH["parcel"]).otherwise(REACH["building"])
+
+
+def _celled(rec: DataFrame, side: str, around: bool) -> DataFrame:
+    """One side of a pair with its cell (k, u, v, w) of place and size, or with all cells within its reach."""
+    reach = _reach("kind")
     cell, step = reach * 4, F.floor(F.col("size") / SIZE_STEP)
-    placed = rec.where("x is not null and y is not null and size is not null")
-    spot = [F.col("kind").alias("k"), F.floor(F.col("x") / cell).alias("u"), F.floor(F.col("y") / cell).alias("v"), step.alias("w")]
-    right = _two(placed.select("*", *spot), ["k", "u", "v", "w"], "b")
+    if not around:
+        spot = [F.col("kind").alias("k"), F.floor(F.col("x") / cell).alias("u"), F.floor(F.col("y") / cell).alias("v"), step.alias("w")]
+        return _two(rec.select("*", *spot), ["k", "u", "v", "w"], side)
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell))
-    left = placed.select("*", F.col("kind").alias("k"), F.explode(span("x")).alias("u"), span("y").alias("_v"), F.sequence(step - 1, step + 1).alias("_w"))
-    left = left.withColumn("v", F.explode("_v")).withColumn("w", F.explode("_w"))
-    pairs = _two(left, ["k", "u", "v", "w"], "a").join(right, ["k", "u", "v", "w"])
+    cells = rec.select("*", F.col("kind").alias("k"), F.explode(span("x")).alias("u"), span("y").alias("_v"), F.sequence(step - 1, step + 1).alias("_w"))
+    return _two(cells.withColumn("v", F.explode("_v")).withColumn("w", F.explode("_w")), ["k", "u", "v", "w"], side)
+
+
+def _within(pairs: DataFrame) -> DataFrame:
+    """The pairs in order of their datasets, of similar size and within reach, with dx and dy."""
     dx, dy = F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")
-    limit = F.when(F.col("kind_a") == "parcel", REACH["parcel"]).otherwise(REACH["building"])
     near = pairs.where((F.col("ds_a") < F.col("ds_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= F.when(F.col("kind_a") == "parcel", SIZE_LIMIT["parcel"]).otherwise(SIZE_LIMIT["building"]))).withColumn("dx", dx).withColumn("dy", dy)
-    return near.where(F.hypot("dx", "dy") <= limit).drop("k", "u", "v", "w", "kind_b")
+    return near.where(F.hypot("dx", "dy") <= _reach("kind_a")).drop("k", "u", "v", "w", "kind_b")
+
+
+def place_candidates(rec: DataFrame) -> DataFrame:
+    """Pairs of one kind from two sources within reach of each other and of similar size; ``shared`` if an end has a shared place."""
+    cell = ["k", "u", "v", "w"]
+    placed = rec.where("x is not null and y is not null and size is not null")
+    near = _within(_celled(placed, "a", True).join(_celled(placed, "b", False), cell)).withColumn("shared", F.lit(False))
+    if "sx" not in rec.columns:
+        return near
+    crowd = rec.where("sx is not null and sy is not null and size is not null").withColumn("x", F.col("sx")).withColumn("y", F.col("sy"))
+    # The cells of a shared place are hot: its records are dealt to parts, and what lies around goes to every part.
+    part = F.explode(F.sequence(F.lit(0), F.lit(SHARED_WAYS - 1)))
+    dealt = _celled(crowd, "a", True).withColumn("_part", F.pmod(F.xxhash64("id_a"), F.lit(SHARED_WAYS)).cast("int"))
+    hot = durable(dealt.select(*cell).distinct())
+    to_all = lambda df: _celled(df, "b", False).join(hot, cell, "left_semi").withColumn("_part", part)
+    among = _within(dealt.join(to_all(crowd), [*cell, "_part"]).drop("_part"))
+    around = dealt.join(to_all(placed), [*cell, "_part"]).drop("_part")
+    turned = around.select(*cell, *[F.col(c).alias(c[:-1] + ("b" if c.endswith("_a") else "a")) for c in around.columns if c not in cell])
+    return near.unionByName(among.unionByName(_within(around)).unionByName(_within(turned)).withColumn("shared", F.lit(True)))
 
 
 def number_candidates(rec: DataFrame) -> DataFrame:
@@ -230,20 +263,25 @@ def _closeness(distance: Column, scale: float) -> Column:
 
 def similarity_vectors(rec: DataFrame) -> DataFrame:
     """(id_a, id_b, type, rank, s1, s2, s3) of every candidate; rank orders rivals, smaller first."""
-    near = durable(place_candidates(rec))
+    near, parts = durable(place_candidates(rec)), number_candidates(rec)
+    if "sx" in rec.columns:
+        # A pair of a shared place is found by number too: the number counts where it is the same, else the place.
+        parts = durable(parts)
+        near = durable(near.join(parts.where("number_a = number_b").select("id_a", "id_b"), ["id_a", "id_b"], "left_anti"))
+        parts = parts.join(near.where("shared").select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
     kept = ["id_a", "id_b", "ds_a", "ds_b", F.col("kind_a").alias("kind"), "size_a", "size_b"]
     size = F.abs(F.col("size_a") - F.col("size_b"))
     number = F.when(F.col("number_a").isNull() | F.col("number_b").isNull(), 0.5).when(F.col("number_a") == F.col("number_b"), 1.0).otherwise(0.0)
     # Parcels: sources lie displaced by a vector of the village, taken from pairs with the same number.
     parcels = near.where("kind_a = 'parcel'").withColumn("zone", F.coalesce("code_b", "code_a", F.lit("")))
-    anchors = parcels.where("number_a = number_b").groupBy("ds_a", "ds_b", "zone").agg(F.percentile_approx("dx", 0.5, 1000).alias("zx"), F.percentile_approx("dy", 0.5, 1000).alias("zy"))
+    anchors = parcels.where("number_a = number_b and not shared").groupBy("ds_a", "ds_b", "zone").agg(F.percentile_approx("dx", 0.5, 1000).alias("zx"), F.percentile_approx("dy", 0.5, 1000).alias("zy"))
     moved = parcels.join(anchors, ["ds_a", "ds_b", "zone"], "left")
     rest = F.hypot(F.col("dx") - F.coalesce("zx", F.lit(0.0)), F.col("dy") - F.coalesce("zy", F.lit(0.0)))
     of_parcels = moved.select(*kept, rest.alias("rank"), _closeness(rest, 2.5).alias("s1"), _closeness(size, 0.15).alias("s2"), number.alias("s3"))
     # Buildings: blocks of a source lie displaced; a pair agrees if its neighbours' best pairs lie displaced alike.
     houses = near.where("kind_a = 'building'").withColumn("far", F.hypot("dx", "dy") + 5 * size)
     best = lambda c: F.row_number().over(Window.partitionBy("ds_a", "ds_b", c).orderBy("far", "id_a", "id_b"))
-    mutual = houses.withColumn("_ra", best("id_a")).withColumn("_rb", best("id_b")).where("_ra = 1 and _rb = 1").where(size < 0.4)
+    mutual = houses.where("not shared").withColumn("_ra", best("id_a")).withColumn("_rb", best("id_b")).where("_ra = 1 and _rb = 1").where(size < 0.4)
     block = 50.0
     at = lambda c: F.floor(F.col(c) / block)
     posts = mutual.select(F.col("ds_a").alias("ds_p"), F.col("ds_b").alias("ds_q"), F.col("id_a").alias("id_p"), F.col("x_a").alias("x_p"), F.col("y_a").alias("y_p"), F.col("dx").alias("dx_p"), F.col("dy").alias("dy_p"))
@@ -257,7 +295,6 @@ def similarity_vectors(rec: DataFrame) -> DataFrame:
     agree = F.when(F.col("n") >= 2, F.least(share * 2, F.lit(1.0))).when(F.col("n") == 1, _closeness(F.col("o1"), 3.0)).otherwise(_closeness(F.hypot("dx", "dy"), 5.0))
     of_houses = judged.select(*kept, (F.col("far") / 4 - 4 * agree).alias("rank"), agree.alias("s1"), _closeness(size, 0.4).alias("s2"), _closeness(F.hypot("dx", "dy"), 8.0).alias("s3"))
     # The roll: number and extent.
-    parts = number_candidates(rec)
     same = F.when(F.col("number_a") == F.col("number_b"), 1.0).otherwise(0.2)
     of_roll = parts.select(*kept, (size.isNull().cast("double") + F.coalesce(size, F.lit(0.0)) - 10 * same).alias("rank"), same.alias("s1"), F.coalesce(_closeness(size, 0.15), F.lit(0.6)).alias("s2"), same.alias("s3"))
     both = of_parcels.unionByName(of_houses).unionByName(of_roll)

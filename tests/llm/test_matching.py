@@ -130,3 +130,57 @@ def test_parameters_follow_from_corrected_posteriors(spark):
     still = M.next_fit(lattice, first, pairs.limit(0).withColumn("before", F.col("p"))).first()
     moved = M.next_fit(lattice, first, pairs.where("id_a < 30").withColumn("before", F.col("p")).withColumn("p", F.lit(0.0))).first()
     assert abs(still.weight[1] - 1 / 3) < 0.01 and abs(moved.weight[1] - 90 / 300) < 0.01
+
+
+def centred(x, y, w, h):
+    return box(x - w / 2, y - h / 2, w, h)
+
+
+def test_records_of_a_shared_place_have_all_candidates(spark):
+    rng = random.Random(6)
+    rows, known = [], {}
+
+    def add(k, ds, kind, x, y):
+        w = rng.uniform(6, 12)
+        rows.append((k, ds, f"{ds}{k}", kind, None, centred(x, y, w, 10.0), {}, f"{ds}-0"))
+        known[k] = (ds, kind, x, y, np.log(w * 10.0))
+
+    # Two sources share a place each, on both sides of a border of cells; single records of three sources lie around them.
+    for kind, base in (("building", 0), ("parcel", 1000)):
+        for k in range(25):
+            add(base + k, "B", kind, 505199.0, 1220039.0)
+        for k in range(25, 55):
+            add(base + k, "C", kind, 505204.0, 1220043.0)
+        for k in range(55, 100):
+            add(base + k, "ABD"[k % 3], kind, 505200.0 + rng.uniform(-40, 40), 1220040.0 + rng.uniform(-40, 40))
+    rec = M.records(spark.createDataFrame(rows, SCHEMA), ["parcel", "building"])
+    got = [(r.id_a, r.id_b) for r in M.place_candidates(rec).select("id_a", "id_b").collect()]
+    wanted = {
+        (a, b)
+        for a, (da, ka, xa, ya, sa) in known.items()
+        for b, (db, kb, xb, yb, sb) in known.items()
+        if da < db and ka == kb and np.hypot(xb - xa, yb - ya) <= M.REACH[ka] and abs(sa - sb) <= M.SIZE_LIMIT[ka]
+    }
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 1500
+    vectors = M.similarity_vectors(rec).select("id_a", "id_b").collect()
+    assert len(vectors) == len(wanted) and set(map(tuple, vectors)) == wanted
+
+
+def test_a_pair_is_found_whatever_the_number_of_records_at_its_place(spark):
+    rows, _ = village(3, 80)
+    # Only the first record of the place has the size of the parcel; neither states a number.
+    one = [(30_000, "A", "one", "parcel", None, centred(506000.0, 1221000.0, 10.0, 55.0), {"lgd_village_code": "600001"}, "A-0")]
+    spot = [(20_000 + k, "B", f"spot{k}", "parcel", None, centred(506005.5, 1220996.0, 10.0 * 1.5**k, 55.0), {"lgd_village_code": "600001"}, "B-0") for k in range(21)]
+    for n in (20, 21):
+        got = {(r.id_a, r.id_b) for r in M.matched(spark.createDataFrame(rows + spot[:n] + one, SCHEMA), ["parcel"]).collect()}
+        assert (20_000, 30_000) in got
+
+
+def test_a_shared_place_is_no_hindrance_to_the_same_number(spark):
+    rows, _ = village(3, 80)
+    # The roll's number and place-holding parcels of B meet A's parcels far from the shared place and 20 m beside it.
+    numbers = {"lgd_village_code": "600001"}
+    spot = [(20_000 + k, "B", f"spot{k}", "parcel", None, centred(506000.0, 1221000.0, 10.0, 55.0), {"Survey_Number": f"{950 + k}/1", **numbers}, "B-0") for k in range(30)]
+    there = [(30_000 + k, "A", f"t{k}", "parcel", None, centred(506000.0 + (20 if k < 3 else 300 + 20 * k), 1221000.0, 10.0, 55.0), {"survey_number": f"{950 + k}/1", **numbers}, "A-0") for k in range(6)]
+    got = {(r.id_a, r.id_b) for r in M.matched(spark.createDataFrame(rows + spot + there, SCHEMA), ["parcel"]).collect()}
+    assert {(20_000 + k, 30_000 + k) for k in range(6)} <= got
