@@ -10,10 +10,12 @@ the block between the epochs, and the best solution of a block stands.  Blocks
 at the lower bound are left alone.
 
 What the worst-filled bins of all blocks hold goes into the next round of
-fewer, freshly dealt blocks.  Where little settles, all bins stand but the
-emptiest, whose items are about one block.  So every specification ends in a
-single block, which has the largest search, and no space is lost to the borders
-between blocks but what bins of FULL or more leave.
+fewer, freshly dealt blocks.  Where little settles, the round is repeated with
+the whole search in every block; only if little settles then too, all bins stand
+but the emptiest, whose items are about one block.  So no bin below FULL stands
+without the whole search, every specification ends in a single block, and no
+space is lost to the borders between blocks but what bins of FULL or more leave
+and what the whole search could not gain.
 
 A document larger than the container is split into full parts and a rest; the
 full parts fill containers of their own and only the rest is packed.
@@ -35,12 +37,13 @@ from terraweave.session import durable
 BLOCK = 2048
 EPOCHS = 2
 #: Islands of a block, solutions of an island, generations of an epoch and how many of them may pass without gain: in blocks
-#: whose rest goes on to the next round, and in the last block of a specification.
+#: whose rest goes on to the next round, and (the whole search) in blocks whose bins may stand below FULL.
 PASSING = {"islands": 2, "population": 6, "generations": 12, "patience": 4}
 LAST = {"islands": 4, "population": 16, "generations": 400, "patience": 120}
 #: Bins emptier than this share go into the next round.
 FULL = 0.995
-#: A round in which more than this share of the items stays leaves only the emptiest bins to the next one.
+#: After a round in which more than this share of the items stays every block has the whole search; after such a round with the
+#: whole search only the emptiest bins go on.
 LITTLE = 0.7
 
 
@@ -263,17 +266,19 @@ def packed(items: DataFrame, containers: DataFrame, block: int = BLOCK) -> DataF
     whole = whole.select("spec_id", "item", "_row", "part", "size", F.concat_ws("-", F.lit("full"), F.col("_row").cast("string"), F.col("part").cast("string")).alias("container"))
     empty = parts.where("size = 0").select("spec_id", "item", "_row", F.lit(1).cast("bigint").alias("part"), "size", F.lit("empty").alias("container"))
     left = parts.where("rest > 0").select("spec_id", "capacity", F.concat_ws(":", F.col("_row").cast("string"), (F.col("_full") + 1).cast("string")).alias("item"), F.col("rest").alias("size"))
-    done, number = None, 0
+    done, number, whole_search = None, 0, set()
     counts = _counted(left)
     while counts:
         blocks = {s: -(-n // block) for s, n in counts.items()}
-        dealt = left.withColumn("_k", _by_spec(blocks)).withColumn("block", F.pmod(F.xxhash64("item", F.lit(number)), F.col("_k"))).withColumn("last", F.col("_k") == 1).drop("_k")
+        dealt = left.withColumn("_k", _by_spec(blocks)).withColumn("block", F.pmod(F.xxhash64("item", F.lit(number)), F.col("_k"))).withColumn("last", (F.col("_k") == 1) | F.col("spec_id").isin(sorted(whole_search))).drop("_k")
         solved = durable(_round(dealt, number))
         joined = solved.join(solved.groupBy("spec_id", "bin").agg(F.sum("size").alias("filled"), F.count(F.lit(1)).alias("held")), ["spec_id", "bin"])
         poor = (_by_spec(blocks) > 1) & (F.col("filled") < F.col("capacity") * FULL)
         stays = _counted(joined.where(poor))
-        # Where little settles, the emptiest bins go on: about as many items as one block holds.
-        slow = {s: block / counts[s] for s, n in stays.items() if n > LITTLE * counts[s]}
+        # Where little settles, all that stays has the whole search; after that the emptiest bins go on: about as many items as one block holds.
+        little = {s for s, n in stays.items() if n > LITTLE * counts[s]}
+        slow = {s: block / counts[s] for s in little & whole_search}
+        whole_search |= little
         if slow:
             share = F.col("filled") / F.col("capacity")
             levels = joined.where(poor).where(_by_spec(slow).isNotNull()).groupBy("spec_id").agg(F.percentile_approx(share, F.array(*[F.lit(k / 1000) for k in range(1001)]), 10_000).alias("q")).collect()

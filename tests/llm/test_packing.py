@@ -76,3 +76,20 @@ def test_large_items_end_in_one_block(spark):
     assert sum(fill.values()) == sum(r.size for r in rows) and len(rows) == 500 and max(fill.values()) <= 100
     alone = P.best_fit(sizes := sorted((r.size for r in rows), reverse=True), 100, list(range(500)))
     assert len(fill) <= len(alone) + 2 and sizes
+
+
+def test_no_bin_with_space_stands_without_the_whole_search(spark, monkeypatch):
+    rng, searched, plain = random.Random(5), {}, P._round
+
+    def noted(items, number):
+        searched[number] = [r["last"] for r in items.select("last").distinct().collect()] == [True]
+        return plain(items, number)
+
+    monkeypatch.setattr(P, "_round", noted)
+    rows = run(spark, [(i, rng.randrange(34, 66)) for i in range(500)], [(1, 100)])
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.container] += r.size
+    spaced = [c for c, v in fill.items() if v < P.FULL * 100]
+    assert spaced and all(searched[int(c[1:].split("-")[0])] for c in spaced)
+    assert len(rows) == 500 and max(fill.values()) <= 100
