@@ -61,9 +61,15 @@ def regions(cells: DataFrame, mask: str, width: int = 1 << 20) -> DataFrame:
 
 
 def zonal(cells: DataFrame, zones: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Height statistics of the cells whose centres lie in each zone box, by an equi-join on grid rows."""
-    z = zones.withColumn("r", F.explode(F.sequence(F.ceil(F.col("y1") / cell - 0.5), F.floor(F.col("y2") / cell - 0.5))))
-    inside = z.join(cells, "r").where(((F.col("c") + 0.5) * cell >= F.col("x1")) & ((F.col("c") + 0.5) * cell <= F.col("x2")))
+    """Height statistics of the cells whose centres lie in each zone box, by an equi-join on grid rows.
+
+    Spark sizes the zones without the rows they are spread over, so it would
+    broadcast what the driver can't hold; the join is asked to sort and merge.
+    """
+    first, last = F.ceil(F.col("y1") / cell - 0.5), F.floor(F.col("y2") / cell - 0.5)
+    # A sequence to a smaller number counts down: a zone between two centres has no row.
+    z = zones.withColumn("r", F.explode(F.when(first <= last, F.sequence(first, last))))
+    inside = z.hint("merge").join(cells, "r").where(((F.col("c") + 0.5) * cell >= F.col("x1")) & ((F.col("c") + 0.5) * cell <= F.col("x2")))
     return inside.groupBy("fid").agg(F.count(F.lit(1)).alias("cells"), F.avg("z").alias("mean"), F.max("z").alias("max"), F.percentile("z", 0.95).alias("p95"), F.stddev_pop("z").alias("deviation"))
 
 

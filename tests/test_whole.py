@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from oracle import oracle_rows, rows_of
 
+from terraweave.operators import raster
 from terraweave.queries import catalogue
 
 
@@ -24,6 +25,17 @@ def test_zonal_takes_every_zone_on_the_raster(spark, larger):
     assert len(got[1]) > 4
 
 
+def test_zones_spread_over_rows_are_not_broadcast(spark, sf_dir):
+    plan = catalogue.queries()["r6_zonal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_zone_between_two_centres_has_no_cells(spark):
+    cells = spark.createDataFrame([(r, 0, float(r)) for r in range(3)], "r bigint, c bigint, z double")
+    zones = spark.createDataFrame([(1, 0.0, 0.6, 1.0, 0.9), (2, 0.0, 0.5, 1.0, 1.5), (3, 0.0, None, 1.0, 1.5)], "fid int, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.fid, r.cells, r["mean"]) for r in raster.zonal(cells, zones).collect()] == [(2, 2, 0.5)]
+
+
 def test_divergence_reads_the_whole_texts(spark, sf_dir):
     counts: dict[str, Counter] = {}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text").collect():
