@@ -34,7 +34,7 @@ _TYPES = "CASE c_custkey % 4 WHEN 0 THEN array('click', 'view') WHEN 1 THEN arra
 def p18_deliveries(spark, sf_dir):
     """How many events each customer's subscription is sent, by its types and least value."""
     subs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS sub_id", f"CAST({_TYPES} AS ARRAY<STRING>) AS event_types", "CAST(50 + c_custkey % 50 AS DOUBLE) AS least", "c_nationkey <> 3 AS active")
-    return feeds.deliveries(table(spark, sf_dir, "events"), subs).groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"))
+    return feeds.delivery_counts(table(spark, sf_dir, "events"), subs)
 
 
 def r2_opening(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,19 +31,56 @@ def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     joined by its types, one to all of them under a mark of its own, so a
     stream of events meets a table in an equi-join and needs no state.
     """
-    every = F.lit("*")
-    wanted = subscriptions.where("active").withColumn("_t", F.explode(F.when(F.size("event_types") > 0, F.array_distinct("event_types")).otherwise(F.array(every))))
-    boxed = {"x1", "y1", "x2", "y2"} <= set(subscriptions.columns) and {"x", "y"} <= set(events.columns)
-    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")] if boxed else []
-    asked = wanted.select("sub_id", "least", "_t", *box)
-    offered = events.withColumn("_t", F.explode(F.array_distinct(F.array(F.coalesce("event_type", F.lit("")), every))))
-    met = offered.join(asked, "_t").where(F.col("value") >= F.col("least"))
+    boxed = _boxed(events, subscriptions)
+    box = ["x1", "y1", "x2", "y2"] if boxed else []
+    met = _offered(events).join(_asked(subscriptions, *box), "_t").where(F.col("value") >= F.col("least"))
     if boxed:
         inside = lambda low, v, high: F.coalesce(F.col(low) <= F.col(v), F.lit(True)) & F.coalesce(F.col(v) <= F.col(high), F.lit(True))
         met = met.where(inside("x1", "x", "x2") & inside("y1", "y", "y2"))
     return met.select("event_id", "sub_id")
 
 
+def _boxed(events: DataFrame, subscriptions: DataFrame) -> bool:
+    return {"x1", "y1", "x2", "y2"} <= set(subscriptions.columns) and {"x", "y"} <= set(events.columns)
+
+
+def _asked(subscriptions: DataFrame, *more: str) -> DataFrame:
+    """A row for each type of each active subscription."""
+    types = F.when(F.size("event_types") > 0, F.array_distinct("event_types")).otherwise(F.array(F.lit("*")))
+    return subscriptions.where("active").withColumn("_t", F.explode(types)).select("sub_id", "least", "_t", *more)
+
+
+def _offered(events: DataFrame) -> DataFrame:
+    """Each event by its type and by the mark of all types."""
+    return events.withColumn("_t", F.explode(F.array_distinct(F.array(F.coalesce("event_type", F.lit("")), F.lit("*")))))
+
+
+def delivery_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(sub_id, n): how many ``deliveries`` each subscription gets that gets any.
+
+    Without areas no pair is listed: the events of a type are counted by value,
+    and a running count from the greatest value down stands at every least
+    value asked for.  The running count is split into stretches of values, so a
+    hot type is spread over tasks; the stretches need only follow the order of
+    the values, which the logarithm does.  With areas the pairs are counted.
+    """
+    if _boxed(events, subscriptions):
+        return deliveries(events, subscriptions).groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = _asked(subscriptions).where("least IS NOT NULL")
+    none = F.lit(0).cast("bigint")
+    sent = _offered(events).select("_t", F.col("value").alias("_v"), F.lit(1).cast("bigint").alias("_n"), none.alias("_asked"))
+    points = sent.where("_v IS NOT NULL").unionByName(asked.select("_t", F.col("least").alias("_v"), none.alias("_n"), F.lit(1).cast("bigint").alias("_asked")))
+    v = F.col("_v").cast("double")
+    stretch = F.when(F.isnan(v), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 64))
+    points = points.groupBy("_t", "_v").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked")).withColumn("_b", stretch)
+    within = F.sum("_n").over(Window.partitionBy("_t", "_b").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.sum("_n").over(Window.partitionBy("_t").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    later = points.groupBy("_t", "_b").agg(F.sum("_n").alias("_n")).select("_t", "_b", F.coalesce(above, none).alias("_above"))
+    counted = points.withColumn("_n", within).where("_asked = 1").join(later.hint("merge"), ["_t", "_b"]).select("_t", F.col("_v").alias("least"), (F.col("_n") + F.col("_above")).alias("_n"))
+    # Spark sizes subscriptions without the types they are spread over, and would broadcast them.
+    return asked.hint("merge").join(counted, ["_t", "least"]).groupBy("sub_id").agg(F.sum("_n").alias("n")).where("n > 0")
+
+
 def merge_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the last row of every key in a versioned Parquet table.
 

@@ -2,11 +2,15 @@ from __future__ import annotations
 
 import gzip
 import json
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from terraweave.plans.dag import Plan
+from terraweave.queries import catalogue
 from terraweave.sources import readers, writers
 from terraweave.streaming import feeds
 
@@ -176,6 +180,26 @@ def test_deliveries_by_type_value_and_area(spark):
     assert feeds.deliveries(events, subs.limit(0)).count() == 0
 
 
+def test_deliveries_are_counted_as_they_are_listed(spark):
+    rng = random.Random(5)
+    numbers = [0.0, -0.0, 1e-9, 1.0, 1.0000000000000002, 50.0, -3.5, -1e300, 1e300, math.inf, -math.inf, math.nan, None]
+    value = lambda: rng.choice(numbers) if rng.random() < 0.4 else round(rng.gauss(20, 60), 1)
+    events = spark.createDataFrame([(k, rng.choice(["click", "view", "error", "", None]), value(), rng.uniform(0, 9), 1.0) for k in range(800)], "event_id int, event_type string, value double, x double, y double")
+    asks = [[], ["click"], ["view", "error"], ["click", "click", ""], ["none"], [None, "view"]]
+    subs = spark.createDataFrame([(rng.randrange(150), rng.choice(asks), value(), rng.choice([True, True, False, None]), 2.0, None, 7.0, None) for _ in range(200)], "sub_id int, event_types array<string>, least double, active boolean, x1 double, y1 double, x2 double, y2 double")
+    for s in (subs.drop("x1", "y1", "x2", "y2"), subs):
+        want = Counter(r.sub_id for r in feeds.deliveries(events, s).collect())
+        got = feeds.delivery_counts(events, s).collect()
+        assert len(got) == len(want) > 50 and {r.sub_id: r.n for r in got} == want
+    assert feeds.delivery_counts(events, subs.drop("x1").limit(0)).count() == feeds.delivery_counts(events.limit(0), subs.drop("x1")).count() == 0
+
+
+def test_counts_of_deliveries_list_no_pairs(spark, sf_dir):
+    plan = catalogue.queries()["sub_deliveries"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and ">=" in x]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_solids_drawings_and_marks(spark, tmp_path):
     from terraweave.operators.overlay import field_sketch
 
